@@ -26,7 +26,7 @@ from litmill.llm.common import chunks, flat, held_out, pick, spaced
 PER_LANG, MOST = 500, 8000
 BUCKETS, DIM = 4096, 16
 GRAMS = (2, 3)
-EPOCHS, RATE, BATCH = 40, 4.0, 32
+EPOCHS, RATE, BATCH = 40, 0.5, 32
 #: Documents with crc32(doc_id) mod FOLDS = HELD are held out.
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
@@ -87,9 +87,10 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
     rng = np.random.default_rng(7)
     held = np.arange(len(x)) % 5 == 4 if len(x) >= 50 else np.zeros(len(x), bool)
     tx, ty = x[~held], y[~held]
-    scale = 1 / np.maximum(tx.std(axis=0), 1e-4)  # rare n-grams count as much as common ones
-    scale /= scale.mean()
-    emb = rng.normal(0, 1, (BUCKETS, DIM)).astype(np.float32)
+    spread = tx.std(axis=0)
+    scale = np.where(spread > 0, 1 / np.maximum(spread, 1e-4), 0)  # rare n-grams count as much as common ones
+    scale /= np.sqrt(max((spread > 0).sum(), 1))
+    emb = rng.normal(0, 1 / np.sqrt(DIM), (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
