@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm import chat, decontamination, language, packing, secrets, toxicity
+from litmill.llm import chat, decontamination, language, minhash, packing, secrets, toxicity
 from litmill.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(rows.unionByName(forged)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites_history")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secrets": op4_secrets,
         "op5_packing": op5_packing,
         "op6_chat": op6_chat,
+        "op7_minhash": op7_minhash,
         "op8_decontamination": op8_decontamination,
         "op9_toxicity": op9_toxicity,
     }
