@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm import chat, decontamination, language, lines, minhash, packing, secrets, toxicity
+from litmill.llm import chat, decontamination, fingerprints, language, lines, minhash, packing, secrets, toxicity
 from litmill.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("evidence", evidence)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lines": op1_lines,
@@ -69,4 +73,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_minhash": op7_minhash,
         "op8_decontamination": op8_decontamination,
         "op9_toxicity": op9_toxicity,
+        "op10_fingerprints": op10_fingerprints,
     }
