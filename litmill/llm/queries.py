@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm import chat, decontamination, fingerprints, language, lines, minhash, packing, secrets, toxicity
+from litmill.llm import chat, decontamination, fingerprints, language, lines, minhash, packing, pii, secrets, toxicity
 from litmill.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs))
@@ -66,6 +70,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lines": op1_lines,
+        "op2_pii": op2_pii,
         "op3_language": op3_language,
         "op4_secrets": op4_secrets,
         "op5_packing": op5_packing,
