@@ -55,7 +55,7 @@ BEFORE = {
     "email": r"(mail|contact|write|reach|address)", "ip": r"(\bip\b|host|server|login|address|from)", "card": r"(card|visa|credit|payment|account|iban)",
     "phone": r"(phone|tel|call|mobile|fax|contact)", "ssn": r"(ssn|social|security)", "local_phone": r"(phone|tel|call|mobile|fax|contact)", "name": r"(name|dear|signed|author|by|from)\b",
 }
-MAIL_DOMAINS = r"(?i)@(?:[a-z0-9-]+\.)*(?:gmail|yahoo|hotmail|outlook|icloud|proton|mail[0-9]*|example)\."
+MAIL_DOMAINS = r"(?i)[@.](?:gmail|yahoo|hotmail|outlook|icloud|proton|mail[0-9]*|example)\."
 CALLING_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 PRIVATE_NETS = r"^(?:0|10|127|22[4-9]|2[3-5][0-9]|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."
 CONTEXT = 30
