@@ -128,10 +128,13 @@ def attachment_path(path: Column) -> Column:
     """struct(kind, path, key) of an attachment: 'storage:KEY/file', an absolute path or a bare relative one."""
     unix = F.replace(path, F.lit("\\"), F.lit("/"))
     stored = F.regexp_extract(unix, r"(?:^storage:|/storage/|^)([A-Z0-9]{8})/(.+)$", 1)
+    made = lambda kind, p, key: F.struct(F.lit(kind).alias("kind"), p.alias("path"), key.alias("key"))
+    rest = F.regexp_extract(unix, r"(?:^storage:|/storage/|^)([A-Z0-9]{8})/(.+)$", 2)
+    none = F.lit("")
     return (
-        F.when(F.coalesce(path, F.lit("")) == "", F.struct(F.lit("missing").alias("kind"), F.lit("").alias("path"), F.lit("").alias("key")))
-        .when(stored != "", F.struct(F.lit("storage"), F.concat(F.lit("storage:"), stored, F.lit("/"), F.regexp_extract(unix, r"(?:^storage:|/storage/|^)([A-Z0-9]{8})/(.+)$", 2)), stored))
-        .otherwise(F.struct(F.lit("absolute"), F.concat(F.lit("absolute:"), unix), F.lit("")))
+        F.when(F.coalesce(path, none) == "", made("missing", none, none))
+        .when(stored != "", made("storage", F.concat(F.lit("storage:"), stored, F.lit("/"), rest), stored))
+        .otherwise(made("absolute", F.concat(F.lit("absolute:"), unix), none))
     )
 
 

@@ -70,7 +70,7 @@ def harvest(spark: SparkSession, path: str) -> DataFrame:
 
 def notes(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     """Markdown notes with scalar fields of their front matter."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).withColumn("file", F.col("_metadata.file_path"))
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").withColumn("file", F.col("_metadata.file_path"))
     front = F.regexp_extract("value", r"(?s)^---\s*\n(.*?)\n---", 1)
     return df.select("file", *[F.regexp_extract(front, rf"(?m)^{f}:\s*[\"']?(.*?)[\"']?\s*$", 1).alias(f) for f in fields], F.col("value").alias("text"))
 
