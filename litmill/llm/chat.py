@@ -21,7 +21,6 @@ conv_id form one conversation; an empty table gives no rows; other columns are i
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -63,6 +62,15 @@ def read(formatted: str) -> Turns:
     return out
 
 
+def _shared(a: str, b: str) -> int:
+    """Length of the common beginning, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
 def content_spans(template: Template, turns: Turns) -> tuple[str, list[tuple[int, int]] | None]:
     """The formatted conversation and where each turn's text stands in it; None if the template rewrites its history."""
     before, spans = template([]), []
@@ -72,8 +80,8 @@ def content_spans(template: Template, turns: Turns) -> tuple[str, list[tuple[int
             return template(turns), None
         role = turns[i - 1][0]
         a, b = (template([*turns[: i - 1], (role, probe)]) for probe in ("x", "yy"))
-        head = len(os.path.commonprefix([a, b]))
-        tail = len(os.path.commonprefix([a[::-1], b[::-1]]))
+        head = _shared(a, b)
+        tail = _shared(a[::-1], b[::-1])
         if head < len(before) or len(a) - tail < head:
             return template(turns), None
         spans.append((head, len(out) - tail))
