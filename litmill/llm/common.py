@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch while a table is written to the shared folder.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +46,14 @@ class Workspace:
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """Write and read back. Rows go to Python in batches of BATCH_ROWS meanwhile, which bounds its memory."""
+        path, key = f"{self.root}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(BATCH_ROWS))
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -47,8 +47,8 @@ def line_ids(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = flat(batch.column(2))
-            out: list[list] = [[], [], [], []]
             for i, j in chunks(off):
+                out: list[list] = [[], [], [], []]
                 buf, begin = spaced(raw, off, i, j)
                 buf[begin[1:] - 1] = 10
                 word, _ = words(buf, begin, low)
@@ -67,11 +67,11 @@ def line_ids(texts: DataFrame) -> DataFrame:
                 row_of = np.searchsorted(begin, line_at[good], "right") - 1
                 number = np.searchsorted(newlines, line_at[good]) - np.searchsorted(newlines, begin[row_of])
                 cut = np.searchsorted(row_of, np.arange(j - i + 1))
-                for k in range(j - i):
-                    a, b = cut[k], cut[k + 1]
-                    for c, v in zip(out, (number, line[good].view(np.int64), other.view(np.int64), count[good])):
+                values = (number, line[good].view(np.int64), other.view(np.int64), count[good])
+                for a, b in zip(cut[:-1], cut[1:]):
+                    for c, v in zip(out, values):
                         c.append(v[a:b])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["doc_id", "text_hash", "p", "h", "g", "w"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["doc_id", "text_hash", "p", "h", "g", "w"])
 
     return texts.mapInArrow(run, "doc_id long, text_hash long, p array<int>, h array<long>, g array<long>, w array<int>")
 
@@ -150,7 +150,8 @@ def _cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     d, t = F.col(f"c{docs.columns.index('doc_id')}"), F.col(f"c{docs.columns.index('text')}")
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "spans")
-    joined = plain.join(spans, d.eqNullSafe(F.col("_d")) & (F.xxhash64(t) == F.col("_t")), "left")
+    # the same join at every size, so that what it moves follows the input
+    joined = plain.join(spans.hint("merge"), d.eqNullSafe(F.col("_d")) & (F.xxhash64(t) == F.col("_t")), "left")
     all_ = F.sequence(F.lit(0), F.size("_lines") - 1)
     gone = F.flatten(F.transform("spans", lambda s: F.sequence(s.p0, s.p1)))
     left = F.transform(F.array_except(all_, gone), lambda k: F.get("_lines", k))
