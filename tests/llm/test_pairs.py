@@ -51,9 +51,17 @@ def family(seed=3):
     return out
 
 
+def passages(seed=4):
+    """Texts that share half of their words, and near copies of some of them."""
+    rng = random.Random(seed)
+    common = " ".join(f"p{rng.randrange(5000)}" for _ in range(60))
+    out = [(200 + i, common + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(50))) for i in range(12)]
+    return out + [(300 + i, t.replace(t.split()[100], "swapped")) for i, t in out[:5]]
+
+
 def test_near_duplicates(spark):
     for n, percent in ((3, 85), (5, 80)):
-        rows = texts() + family()
+        rows = texts() + family() + passages()
         got = sorted(map(tuple, minhash.near_duplicates(frame(spark, rows), n, percent).collect()), key=str)
         want = sorted(((d, k, c, d == c) for d, k, c in components(rows, n, percent)), key=str)
         assert got == want
