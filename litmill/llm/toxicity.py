@@ -1,17 +1,23 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Learning takes at most `per_class` labelled documents of each class (those with the smallest hash of their
-id). Terms whose document counts differ most between the classes (chi-square) form the vocabulary; their
-document frequencies are then counted over all documents. Examples are TF-IDF vectors of unit length in
-blocks of BLOCK; for every block and term the index keeps the postings and the largest weight. A text is
-compared with the block of the highest bound first, and with another only while that block's bound exceeds
-its K-th best cosine so far, so the K neighbours are exact.
-
-Neighbours vote with their cosine times the weight that undoes the sampling of their class; a logistic
-curve fitted on leave-one-out votes of the examples turns votes into probabilities. A text without a
-vocabulary term has no neighbour and gets the rate of toxic examples that have none either.
-
-Defined cases: null or empty texts have no term; without labels of both classes every score is the smoothed
+id). Every word of theirs is in the index, with its document frequency over all documents. Examples are
+TF-IDF vectors of unit length in blocks of BLOCK. Words that at least one in COMMON examples has are columns
+of a matrix, with the largest weight in each block; the others have lists of postings, whose products are
+added up first. A text is compared with the block of the highest bound first, and with another only while
+that block's bound exceeds its K-th best cosine so far, so the K neighbours are exact.
+
+Words of a text that no example has change its length alone, hence neither neighbours nor votes. score()
+counts them over the documents it scores, so that the cosines it returns are those of whole texts.
+
+Neighbours vote with their cosine times the weight that undoes the sampling of their class. Whole texts are
+alike by their topic first, so the vote is joined by the text's lean: the mean, over its words, of the
+smoothed log odds of toxic examples with the word, weighed down smoothly, never to a cut, where counts are
+within chance. A logistic curve fitted on leave-one-out votes and leans of the examples turns both into a
+probability. A text without a
+word of any example has no neighbour and gets the rate of toxic examples without words.
+
+Defined cases: null or empty texts have no word; without labels of both classes every score is the smoothed
 class rate; several labels of one document count as the largest; a null doc_id is never learned from;
 repeated rows get equal scores; ties in cosine go to the earlier example; other columns are ignored.
 """
@@ -23,17 +29,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmill.llm.common import chunks, flat, held_out, letters_digits, lowered, pick, spaced, words
+from litmill.llm.common import Workspace, chunks, flat, held_out, letters_digits, lowered, pick, spaced, words
 
 #: Labelled documents learned from, of each class.
 PER_CLASS = 2000
-#: Terms in the vocabulary at most, and the least chi-square and example count of each.
-TERMS, LEAST_CHI, LEAST_DF = 512, 25.0, 4
+#: Words that one in COMMON examples has are columns of a matrix.
+COMMON = 16
 K = 15
 BLOCK = 64
+#: Texts compared at once.
+ROWS = 256
 #: Documents with crc32(doc_id) mod FOLDS = 0 are held out.
 FOLDS = 5
 THRESHOLD = 0.5
@@ -41,39 +50,84 @@ THRESHOLD = 0.5
 SCORED = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:float,toxic:int>>"
 
 
+@dataclass
+class Vectors:
+    """TF-IDF vectors of texts, of unit length over the words that examples have."""
+
+    common: np.ndarray  # texts x common words
+    row: np.ndarray  # of every other word that an example has
+    word: np.ndarray
+    weight: np.ndarray
+    square: np.ndarray  # squared length before division
+    lean: np.ndarray
+    new: tuple[np.ndarray, np.ndarray, np.ndarray]  # row, hash and squared 1 + ln(count) of the words that no example has
+
+
 @dataclass
 class Index:
-    vocab: np.ndarray  # term hashes, ascending
+    vocab: np.ndarray  # word hashes, ascending
     idf: np.ndarray
-    postings: np.ndarray  # examples x terms, in blocks of BLOCK rows
-    peak: np.ndarray  # blocks x terms: the largest weight of each term in each block
+    postings: np.ndarray  # examples x common words, in blocks of BLOCK rows
+    peak: np.ndarray  # blocks x common words: the largest weight of each word in each block
     doc_id: np.ndarray
     label: np.ndarray
     weight: np.ndarray  # of a vote
-    slope: float = 1.0
+    slope: tuple[float, float] = (1.0, 0.0)  # of the vote and of the lean
     shift: float = 0.0
-    without: float = 0.0  # score of a text that has no term
-
-    def vectors(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Unit TF-IDF vectors of the rows whose words these are."""
-        n, v = len(first) - 1, len(self.vocab)
-        if not v:
-            return np.zeros((n, 0), np.float32)
-        at = np.minimum(np.searchsorted(self.vocab, h), v - 1)
-        known = np.flatnonzero(self.vocab[at] == h)
-        row = np.searchsorted(first, known, "right") - 1
-        tf = np.bincount(row * v + at[known], minlength=n * v).reshape(n, v)
-        x = np.where(tf > 0, (1 + np.log(np.maximum(tf, 1))) * self.idf, 0).astype(np.float32)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-
-    def nearest(self, x: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples of each row and their cosines; -1 and 0 where there are fewer with a positive cosine."""
+    without: float = 0.0  # score of a text that has no word of an example
+    size: int = 0  # documents counted
+    column: np.ndarray | None = None  # of each word of the vocabulary, -1 where it isn't common
+    begin: np.ndarray | None = None  # where each word's postings begin, and the total
+    example: np.ndarray | None = None
+    share: np.ndarray | None = None  # weight of a posting
+    lean: np.ndarray | None = None  # of each word
+
+    def vectors(self, h: np.ndarray, first: np.ndarray) -> Vectors:
+        """Vectors of the rows whose words these are."""
+        n, v, columns = len(first) - 1, len(self.vocab), self.postings.shape[1]
+        owner = np.repeat(np.arange(n), np.diff(first))
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.zeros(0, np.int64)
+        tf = 1 + np.log(np.diff(np.append(head, len(h))))
+        h, owner = h[head], owner[head]
+        at = np.minimum(np.searchsorted(self.vocab, h), v - 1) if v else np.zeros(len(h), np.int64)
+        known = self.vocab[at] == h if v else np.zeros(len(h), bool)
+        rest = ~known if v else known  # without examples there is no cosine to give
+        new = owner[rest], h[rest], tf[rest] ** 2
+        row, word = owner[known], at[known]
+        x = tf[known] * self.idf[word]
+        square = np.bincount(row, weights=x * x, minlength=n)
+        x = x / np.sqrt(square[row])
+        lean = np.bincount(row, weights=self.lean[word] if v else None, minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
+        column = self.column[word] if v else word
+        dense = column >= 0
+        common = np.zeros((n, columns), np.float32)
+        common[row[dense], column[dense]] = x[dense]
+        return Vectors(common, row[~dense], word[~dense], x[~dense], square, lean, new)
+
+    def products(self, x: Vectors) -> np.ndarray:
+        """Texts x examples: the part of the cosines that is due to words that aren't common."""
+        n, m = len(x.common), len(self.label)
+        length = self.begin[x.word + 1] - self.begin[x.word]
+        inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        at = np.repeat(self.begin[x.word], length) + inner
+        cell = np.repeat(x.row * m, length) + self.example[at]
+        return np.bincount(cell, weights=np.repeat(x.weight, length) * self.share[at], minlength=n * m).reshape(n, m).astype(np.float32)
+
+    def nearest(self, x: np.ndarray, k: int = K, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples of each row and their cosines; -1 and 0 where there are fewer with a positive cosine.
+
+        more: what is added to the products of common words, texts x examples.
+        """
         n, blocks = len(x), len(self.peak)
         best, of = np.zeros((n, k), np.float32), np.full((n, k), -1)
-        some = np.flatnonzero(x.any(axis=1))
+        some = np.flatnonzero(x.any(axis=1) if more is None else x.any(axis=1) | more.any(axis=1))
         if not len(some) or not blocks:
             return of, best
         bound = x[some] @ self.peak.T
+        if more is not None:
+            bound += np.maximum.reduceat(more[some], np.arange(0, more.shape[1], BLOCK), axis=1)
         order = np.argsort(-bound, axis=1, kind="stable")
         for turn in range(blocks):
             block = order[:, turn]
@@ -84,6 +138,8 @@ class Index:
             for b in np.unique(block[active]):
                 rows = some[active[block[active] == b]]
                 cosine = x[rows] @ self.postings[b * BLOCK : (b + 1) * BLOCK].T
+                if more is not None:
+                    cosine += more[rows, b * BLOCK : (b + 1) * BLOCK]
                 sims = np.concatenate([best[rows], cosine], axis=1)
                 ids = np.concatenate([of[rows], np.broadcast_to(np.arange(b * BLOCK, b * BLOCK + cosine.shape[1]), cosine.shape)], axis=1)
                 pick_ = np.lexsort((ids, -sims), axis=1)[:, :k]
@@ -91,26 +147,41 @@ class Index:
         of[best <= 0] = -1
         return of, np.maximum(best, 0)
 
+    def neighbours(self, h: np.ndarray, first: np.ndarray, k: int = K) -> Iterator[tuple[Vectors, np.ndarray, np.ndarray]]:
+        """Vectors, nearest examples and cosines of the rows whose words these are, ROWS at a time."""
+        for i in range(0, len(first) - 1, ROWS):
+            cut = first[i : i + ROWS + 1]
+            x = self.vectors(h[cut[0] : cut[-1]], cut - cut[0])
+            yield x, *self.nearest(x.common, k, self.products(x) if len(self.label) else None)
+
     def votes(self, of: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         w = np.where(of >= 0, cosine * self.weight[of], 0) if len(self.weight) else np.zeros(of.shape)
         yes = (w * (self.label[of] == 1)).sum(axis=1) if len(self.label) else np.zeros(len(of))
         vote = yes / np.maximum(w.sum(axis=1), 1e-30)
         return np.log((vote + 1e-3) / (1 - vote + 1e-3))
 
-    def scores(self, of: np.ndarray, cosine: np.ndarray) -> np.ndarray:
-        p = 1 / (1 + np.exp(-(self.slope * self.votes(of, cosine) + self.shift)))
+    def scores(self, of: np.ndarray, cosine: np.ndarray, lean: np.ndarray) -> np.ndarray:
+        p = 1 / (1 + np.exp(-(self.slope[0] * self.votes(of, cosine) + self.slope[1] * lean + self.shift)))
         return np.where((of >= 0).any(axis=1), p, self.without)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a ridge logistic curve by Newton's method."""
-    a = np.stack([x, np.ones(len(x))], axis=1)
-    beta = np.zeros(2)
+def _lean(d1: np.ndarray, d0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Of words that d1 of n1 toxic and d0 of n0 other examples have."""
+    d, r = d1 + d0, n1 / (n1 + n0)
+    p = (d1 + r) / (d + 1)
+    z4 = ((d1 - d * r) ** 2 / (d * r * (1 - r) + 0.25)) ** 2
+    return np.log(p / (1 - p) * (1 - r) / r) * z4 / (z4 + 81)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a ridge logistic curve by Newton's method; x has a column for each slope."""
+    a = np.column_stack([x, np.ones(len(x))])
+    ridge, beta = np.append(np.full(x.shape[1], 0.1), 1e-3), np.zeros(a.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-a @ beta))
-        g = a.T @ (w * (p - y)) + 0.1 * beta * [1, 0]
-        beta -= np.linalg.solve(a.T @ (a * (w * p * (1 - p))[:, None]) + np.diag([0.1, 1e-3]), g).clip(-2, 2)
-    return float(max(beta[0], 0)), float(beta[1])
+        g = a.T @ (w * (p - y)) + ridge * beta * np.append(np.ones(x.shape[1]), 0)
+        beta -= np.linalg.solve(a.T @ (a * (w * p * (1 - p))[:, None]) + np.diag(ridge), g).clip(-2, 2)
+    return np.maximum(beta[:-1], 0), float(beta[-1])
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -148,12 +219,12 @@ def _frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
                 pair = np.unique((np.searchsorted(first, known, "right") - 1) * len(vocab) + at[known])
                 df[:-1] += np.bincount(pair % len(vocab), minlength=len(vocab))
         df[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df)), pa.int32()), pa.array(df)], names=["term", "df"])
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(df[met])], names=["term", "df"])
 
-    rows = pick(docs, "text").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row for each term
+    rows = pick(docs, "text").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row for each word of the examples
     df = np.zeros(len(vocab) + 1, np.int64)
-    for r in rows:
-        df[r.term] = r.df
+    df[rows["term"].to_numpy()] = rows["df"].to_numpy()
     return df[:-1], int(df[-1])
 
 
@@ -173,69 +244,101 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, corpus
     if n.min() == 0:
         return nothing
     hs, cs = [np.frombuffer(r.h, np.uint64) for r in rows], [np.frombuffer(r.c, np.int32) for r in rows]
-    term, at = np.unique(np.concatenate(hs), return_inverse=True)
-    of = np.repeat(np.arange(len(rows)), [len(h) for h in hs])
-    d1 = np.bincount(at, weights=y[of], minlength=len(term))
-    d = np.bincount(at, minlength=len(term))
-    expected = np.maximum(d * n[1] / n.sum(), 1e-12)
-    share = d / n.sum()
-    chi = (d1 - expected) ** 2 / (expected * np.maximum(1 - share, 1e-12)) * (n.sum() / n[0])
-    good = np.flatnonzero((d >= LEAST_DF) & (chi >= LEAST_CHI))
-    good = np.sort(good[np.lexsort((term[good], -chi[good]))][:TERMS])
-    if not len(good):
+    vocab = np.unique(np.concatenate(hs))
+    if not len(vocab):
         return nothing
-    vocab = term[good]
     df, size = _frequencies(corpus if corpus is not None else docs, vocab)
     index = nothing
-    index.vocab, index.idf = vocab, np.log((1 + size) / (1 + df)).astype(np.float32) + 1
-    first = np.concatenate([[0], np.cumsum([c.sum() for c in cs])])
-    x = index.vectors(np.concatenate([np.repeat(h, c) for h, c in zip(hs, cs)]), first)
+    index.vocab, index.idf, index.size = vocab, np.log((1 + size) / (1 + df)) + 1, size
     weight = np.array([total[0] / n[0], total[1] / n[1]])
-    bare = ~x.any(axis=1)
+    bare = np.array([not len(h) for h in hs])
     index.without = float((weight[y[bare]] * y[bare]).sum() + 0.5 * rate) / float(weight[y[bare]].sum() + 0.5)
-    keep = np.flatnonzero(~bare)
-    keep = keep[np.lexsort((keep, x[keep].argmax(axis=1)))]  # alike examples share blocks, which keeps the bounds tight
-    index.postings, index.label, index.weight = x[keep], y[keep], weight[y[keep]]
+    keep = np.flatnonzero(~bare)  # a text without words has no cosine with any other
+    heavy = [np.searchsorted(vocab, hs[i])[np.argmax((1 + np.log(cs[i])) * index.idf[np.searchsorted(vocab, hs[i])])] for i in keep]
+    keep = keep[np.lexsort((keep, heavy))]  # alike examples share blocks, which keeps the bounds tight
+    index.label, index.weight = y[keep], weight[y[keep]]
     index.doc_id = np.array([rows[i].doc_id for i in keep])
-    index.peak = np.stack([index.postings[i : i + BLOCK].max(axis=0) for i in range(0, len(keep), BLOCK)]) if len(keep) else np.zeros((0, len(vocab)), np.float32)
-    if len(keep):  # leave-one-out votes
-        of, cosine = index.nearest(index.postings, K + 1)
+    example = np.repeat(np.arange(len(keep)), [len(hs[i]) for i in keep])
+    word = np.searchsorted(vocab, np.concatenate([hs[i] for i in keep]))
+    x = (1 + np.log(np.concatenate([cs[i] for i in keep]))) * index.idf[word]
+    x = x / np.sqrt(np.bincount(example, weights=x * x))[example]
+    common = np.flatnonzero(np.bincount(word, minlength=len(vocab)) * COMMON >= len(keep))
+    index.column = np.full(len(vocab), -1, np.int32)
+    index.column[common] = np.arange(len(common))
+    dense = index.column[word] >= 0
+    index.postings = np.zeros((len(keep), len(common)), np.float32)
+    index.postings[example[dense], index.column[word[dense]]] = x[dense]
+    index.peak = np.stack([index.postings[i : i + BLOCK].max(axis=0) for i in range(0, len(keep), BLOCK)])
+    rest = np.flatnonzero(~dense)
+    rest = rest[np.argsort(word[rest], kind="stable")]
+    index.example, index.share = example[rest].astype(np.int32), x[rest].astype(np.float32)
+    index.begin = np.searchsorted(word[rest], np.arange(len(vocab) + 1))
+    d1 = np.bincount(word, weights=index.label[example], minlength=len(vocab))
+    d0 = np.bincount(word, minlength=len(vocab)) - d1
+    index.lean = _lean(d1, d0, int(n[1]), int(n[0]))
+    if len(keep) and n.min() > 1:  # leave-one-out votes and leans
+        own = index.label[example]
+        others = np.where(d1[word] + d0[word] > 1, _lean(d1[word] - own, d0[word] - (1 - own), n[1] - own, n[0] - (1 - own)), 0)
+        lean = np.bincount(example, weights=others) / np.bincount(example)
+        first = np.concatenate([[0], np.cumsum([cs[i].sum() for i in keep])])
+        found = list(index.neighbours(np.concatenate([np.repeat(hs[i], cs[i]) for i in keep]), first, K + 1))
+        of, cosine = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
         self_ = of == np.arange(len(keep))[:, None]
         last = ~self_.any(axis=1)
         self_[last, -1] = True
         of, cosine = of[~self_].reshape(-1, K), cosine[~self_].reshape(-1, K)
         some = (of >= 0).any(axis=1)
         if some.any() and len(set(index.label[some])) == 2:
-            index.slope, index.shift = _logistic(index.votes(of, cosine)[some], index.label[some], index.weight[some])
+            spread = max(float(lean[some].std()), 1e-9)
+            slope, index.shift = _logistic(np.column_stack([index.votes(of, cosine), lean / spread])[some], index.label[some], index.weight[some])
+            index.slope = float(slope[0]), float(slope[1] / spread)
     return index
 
 
-def _scored(column: pa.Array, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _scored(column: pa.Array, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Vectors]]:
     low = lowered(letters_digits())
     raw, off = flat(column)
     for i, j in chunks(off):
-        x = index.vectors(*words(*spaced(raw, off, i, j), low))
-        of, cosine = index.nearest(x)
-        yield index.scores(of, cosine), of, cosine
+        for x, of, cosine in index.neighbours(*words(*spaced(raw, off, i, j), low)):
+            yield index.scores(of, cosine, x.lean), of, cosine, x
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, held_out, score, predicted and the three nearest examples of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most 2 * PER_CLASS vectors of TERMS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # the words of at most 2 * PER_CLASS examples
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float32()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        ix, at = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            scores, evidence = [], []
-            for s, of, cosine in _scored(batch.column(2), ix):
+            scores, evidence, square, sizes, new, weight = [], [], [], [], [], []
+            for s, of, cosine, x in _scored(batch.column(2), ix):
                 scores.append(s)
                 near = [[(int(ix.doc_id[e]), float(c), int(ix.label[e])) for e, c in zip(a[:3], b[:3]) if e >= 0] if a[0] >= 0 else [] for a, b in zip(of.tolist(), cosine.tolist())]
                 evidence += [[dict(zip(("doc_id", "cosine", "toxic"), e)) for e in x] for x in near]
-            s = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
-
-    return pick(docs, "doc_id", "text").select("doc_id", held_out("doc_id", FOLDS, 0).alias("held_out"), "text").mapInArrow(run, SCORED)
+                square.append(x.square)
+                row, h, w = x.new
+                sizes.append(np.bincount(row, minlength=len(s)))
+                new.append(h.view(np.int64))
+                weight.append(w)
+            joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
+            s, n = joined(scores), batch.num_rows
+            off = pa.array(np.concatenate([[0], np.cumsum(joined(sizes))]).astype(np.int32))
+            pairs = pa.StructArray.from_arrays([pa.array(joined(new).astype(np.int64)), pa.array(joined(weight).astype(np.float64))], names=["h", "w"])
+            columns = [pa.array(np.arange(at, at + n)), batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(evidence, kind), pa.array(joined(square).astype(np.float64)), pa.ListArray.from_arrays(off, pairs)]
+            at += n
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "score", "predicted", "evidence", "square", "new"])
+
+    scored = pick(docs, "doc_id", "text").select("doc_id", held_out("doc_id", FOLDS, 0).alias("held_out"), "text")
+    scored = scored.mapInArrow(run, f"row long, {SCORED}, square double, new array<struct<h:long,w:double>>")
+    scored = Workspace(docs.sparkSession, "toxicity").keep(scored, "scored")
+    # the rest of each text's squared length: words that no example has, counted over the documents
+    new = scored.select("row", F.explode("new").alias("x")).select("row", "x.h", "x.w")
+    idf = F.log((1 + index.size) / (1 + F.col("df"))) + 1
+    rest = new.join(new.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("row").agg(F.sum(F.col("w") * idf * idf).alias("rest"))
+    whole = F.sqrt(F.col("square") / F.greatest(F.col("square") + F.coalesce("rest", F.lit(0.0)), F.lit(1e-30)))
+    evidence = F.transform("evidence", lambda e: F.struct(e.doc_id.alias("doc_id"), (e.cosine * whole).cast("float").alias("cosine"), e.toxic.alias("toxic")))
+    return scored.join(rest, "row", "left").select("doc_id", "held_out", "score", "predicted", evidence.alias("evidence"))
 
 
 def remove(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:

@@ -249,3 +249,27 @@ def test_toxicity(spark):
     kept = toxicity.remove(docs, toxicity.train(docs, lab))
     assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 0
     assert toxicity.score(empty(spark), none).count() == 0
+
+
+def test_toxicity_uses_every_word(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 30, " ".join(f"k{k}" for k in range(400)))) for i in range(120)]
+    labels = [(i, 1, int(i % 6 == 0)) for i in range(120)]
+    toxic = [i for i in range(120) if i % 6 == 0 and zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"{t} {'quarx' if i in toxic[:2] else ''}") for i, t in rows]  # a word of two examples
+    rows += [(900, "quarx unheard unheard"), (901, "quarx quarx unheard other"), (902, "unheard alone"), (None, "k1 k2 k3"), (903, "")]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs, lab)).collect()}
+    assert {e.doc_id for e in got[900].evidence} == set(toxic[:2]) and got[900].predicted == 1 == got[901].predicted
+    df = Counter(w for _, t in rows for w in set(t.split()))
+
+    def vector(t):
+        v = {w: (1 + math.log(c)) * (math.log((1 + len(rows)) / (1 + df[w])) + 1) for w, c in Counter(t.split()).items()}
+        return {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+
+    examples = [vector(t) for i, t in rows if i is not None and i < 120 and zlib.crc32(str(i).encode()) % 5]
+    for i, t in rows:
+        v = vector(t)
+        want = sorted((s for e in examples if (s := sum(x * e.get(w, 0) for w, x in v.items())) > 0), reverse=True)[:3]
+        assert [e.cosine for e in got[i].evidence] == pytest.approx(want, abs=1e-4)
