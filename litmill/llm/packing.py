@@ -15,6 +15,7 @@ documents; a null doc_id stays null; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 # The tokenizer's split pattern and its byte alphabet are fixed values of the published vocabulary file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
+#: White space in a row that the faster library isn't given.
+RUN = 100_000
+LONG = re.compile(rf"\s{{{RUN}}}")
 
 
 class FreeRoom:
@@ -85,11 +89,17 @@ def best_fit(lengths: list[int], size: int = SIZE) -> tuple[list[tuple[int, int]
 
 
 class Encoder:
-    """Little-endian 32-bit ids of texts. The ranks come from the tokenizer's own file; its special tokens are ordinary text."""
+    """Little-endian 32-bit ids of texts. The ranks come from the tokenizer's own file; its special tokens are ordinary text.
+
+    Texts with RUN or more white-space characters in a row, which the faster library can't take, go to the tokenizer itself.
+    """
 
     def __init__(self, path: str) -> None:
         import tiktoken
+        from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         byte = _alphabet()
@@ -97,6 +107,8 @@ class Encoder:
         self.encode = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
+        if LONG.search(text):
+            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.asarray(self.encode(text), "<u4").tobytes()
 
 

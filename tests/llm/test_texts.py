@@ -273,3 +273,12 @@ def test_toxicity_uses_every_word(spark):
         v = vector(t)
         want = sorted((s for e in examples if (s := sum(x * e.get(w, 0) for w, x in v.items())) > 0), reverse=True)[:3]
         assert [e.cosine for e in got[i].evidence] == pytest.approx(want, abs=1e-4)
+
+
+def test_long_white_space():
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    t.encode_special_tokens = True
+    for x in ["a" + " " * 1_500_000 + "b", "a" + "\n" * 1_500_000]:
+        assert encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
