@@ -460,7 +460,7 @@ _BOX_SQL = """boxes as (select label as page, vec_id as id, round(embedding[1]::
 
 
 def _rects(spark: SparkSession, sf: str) -> DataFrame:
-    b = _boxes(spark, sf).filter("vec_id < 400")
+    b = _boxes(spark, sf)
     return b.select("page", F.col("vec_id").alias("id"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 50 + F.abs("w")).alias("x2"), (F.col("y") + 50 + F.abs("h")).alias("y2"))
 
 
@@ -470,7 +470,7 @@ def _rects(spark: SparkSession, sf: str) -> DataFrame:
   u as (select *, case when caption < 0.4 then caption else least(1.0, 0.3 + case when over then 0.25 when beside then 0.2 else 0 end + case when least(abs(ly1 - ay2), abs(ay1 - ly2)) <= 300 then 0.2 else 0 end + case when ay2 <= ly1 or ay1 >= ly2 then 0.1 else 0 end + least(0.15, caption * 0.15))::double end as sc from t)
   select page, lid as legend_id, aid as asset_id, round(sc, 4) as score, case when caption < 0.4 then 'rejected' when sc >= 0.6 and (over or beside) then 'matched' when sc >= 0.4 then 'ambiguous' else 'rejected' end as decision from u""".replace("0.3 + id % 3 * 0.2 as caption", "(30 + id % 3 * 20) / 100.0::double as caption").replace("else 0 end", "else 0.0::double end").replace("then 0.25 when beside then 0.2", "then 0.25::double when beside then 0.2::double").replace("then 0.2 else", "then 0.2::double else").replace("then 0.1 else", "then 0.1::double else").replace("least(1.0, 0.3 +", "least(1.0::double, 0.3::double +").replace("least(0.15, caption * 0.15)", "least(0.15::double, caption * 0.15::double)"))
 def caption_asset_score(spark: SparkSession, sf: str) -> DataFrame:
-    r = _rects(spark, sf)
+    r = _rects(spark, sf).filter("id < 400")  # the rows that its SQL is about
     return blocks.figure_match(r.filter("id % 5 = 0").withColumn("caption", (F.lit(30) + F.col("id") % 3 * 20) / 100.0), r.filter("id % 5 <> 0"), "page")
 
 

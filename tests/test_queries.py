@@ -41,3 +41,9 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_boxes_of_all_embeddings(spark):
+    from litmill.queries import _rects
+
+    assert _rects(spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count() > 400
