@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +38,20 @@ class Workspace:
     """Tables written to the folder that spark.checkpoint.dir names, which driver and executors share.
 
     Reading a written table back cuts the lineage and survives the loss of an executor.
-    Where the setting is unset (tests), a folder beside the warehouse is used.
+    Where the setting is unset, a folder beside the warehouse is used if all runs in one process, as in tests; on a
+    cluster that is an error, as executors might write to disks of their own.
     """
 
+    made: ClassVar[list[str]] = []
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.made.append(self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write and read back. Rows go to Python in batches of BATCH_ROWS meanwhile, which bounds its memory."""
@@ -58,8 +66,18 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_workspaces(spark: SparkSession) -> None:
+    """Delete what this process has written to workspaces; results that still read it are gone with it."""
+    while Workspace.made:
+        _delete(spark, Workspace.made.pop())
 
 
 # ---- texts of an Arrow batch as bytes ----
@@ -76,13 +94,14 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about limit bytes each."""
+def chunks(off: np.ndarray, limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many rows, with about limit bytes each."""
     n, i = len(off) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(i + rows, j, n)
+        yield i, j
+        i = j
 
 
 def spaced(raw: np.ndarray, off: np.ndarray, i: int, j: int, gap: int = 1) -> tuple[np.ndarray, np.ndarray]:
