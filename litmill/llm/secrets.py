@@ -1,15 +1,16 @@
 """Secret scans: an Aho-Corasick keyword prefilter, anchored expressions at its hits, then checksums.
 
 One automaton finds the keywords of all kinds in a lower-cased copy of the text; each kind's expression is
-then matched only where one of its keywords stands (its whole match begins there). Kinds with a checksum or
-a structure inside (a CRC-32, an encoded header, an account number) are kept only if that holds. Long
-hexadecimal runs have no keyword: they are found by their length.
+then matched only where one of its keywords stands (its whole match begins there). Kinds with a checksum inside (a
+CRC-32 in base 62) are kept only if it holds, and are the ones counted as verified; a signed token is kept if its
+header is a JSON object that names an algorithm. Long hexadecimal runs have no keyword: they are found by their length.
 
 Base kinds are `assign`, `access` and `hex`: leftmost, non-overlapping matches, of which the too short are
 dropped without another try. The further kinds only add spans.
 
 Defined cases: a null or empty text has no span; repeated rows are scanned alike; a null doc_id stays null;
-overlapping spans of different kinds are all reported; other columns are ignored.
+overlapping spans of different kinds are all reported; a very long text is scanned whole, in time linear in its length;
+a header that is nested too deeply to be read is none; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,9 +50,10 @@ def _header(token: bytes) -> bool:
     """The first part is a JSON object that names an algorithm."""
     part = token.split(b".")[0]
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4)))
-    except (ValueError, TypeError):
+        header = json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4)))
+    except (ValueError, RecursionError):
         return False
+    return isinstance(header, dict) and "alg" in header
 
 
 @dataclass
@@ -60,6 +62,7 @@ class Rule:
     keywords: tuple[str, ...]  # lower-cased; a match begins with one of them
     pattern: re.Pattern
     valid: Callable[[re.Match], bool]
+    checksum: bool = False
 
 
 RULES = (
@@ -70,8 +73,8 @@ RULES = (
         lambda m: len(m[1]) >= 6,
     ),
     Rule("access", ("akia",), re.compile(rb"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
-    Rule("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), lambda m: _base62_crc(m[0])),
-    Rule("npm", ("npm_",), re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), lambda m: _base62_crc(m[0])),
+    Rule("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), lambda m: _base62_crc(m[0]), True),
+    Rule("npm", ("npm_",), re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), lambda m: _base62_crc(m[0]), True),
     Rule("jwt", ("eyj",), re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), lambda m: _header(m[0])),
     Rule("pem", ("-----begin ",), re.compile(rb"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"), lambda m: True),
 )
@@ -100,7 +103,7 @@ def scan(text: bytes, find: ahocorasick.Automaton) -> tuple[list[tuple[str, int,
                 done = m.end()
                 if rule.valid(m):
                     spans.append((rule.kind, start, m.end()))
-                    verified += rule.kind not in BASE_KINDS
+                    verified += rule.checksum
     return spans + [("hex", m.start(), m.end()) for m in HEX.finditer(text)], verified
 
 
