@@ -7,8 +7,9 @@ language and `most` in all (the smallest hashes of their ids). A fifth of these
 temperature and the score below which a prediction is called rejected.
 
 Defined cases: a null or empty text, or one without a letter, is 'und' with score 0; without training rows
-every text is 'und'; ties go to the language first in order; repeated rows are judged alike; null doc_id: a
-row of the training part, as its remainder is unknown; other columns are ignored.
+every text is 'und'; ties go to the language first in order; repeated rows are judged alike, and one row of an id
+and language is learned from; null doc_id: not held out, as its remainder is unknown, but never learned from; a very
+long text is a step of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ PER_LANG, MOST = 500, 8000
 BUCKETS, DIM = 4096, 16
 GRAMS = (2, 3)
 EPOCHS, RATE, BATCH = 40, 0.5, 32
+#: Texts whose features are made at once.
+ROWS = 256
 #: Documents with crc32(doc_id) mod FOLDS = HELD are held out.
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
@@ -121,17 +124,29 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
     return model
 
 
+def _sample(ids: DataFrame, per_lang: int, most: int) -> DataFrame:
+    """doc_id of at most per_lang ids of each language, those with the least hashes, and of `most` in all.
+
+    Only ids whose hash lies below four times the share that is wanted are ranked, so that no task gets all of a
+    language, however common it is.
+    """
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
+    counts = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy("lang").limit(most)
+    near = ids.join(F.broadcast(counts), "lang").filter(h * F.col("n") < 4.0 * per_lang * 2.0**53).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(h, "doc_id")
+    return near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).orderBy("r", "lang").limit(most).select("doc_id").distinct()
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST) -> Model | None:
     rows = pick(docs, "doc_id", "lang", "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out("doc_id", FOLDS, HELD)).select("doc_id", "lang")
-    sample = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).orderBy("r", "lang").limit(most).select("doc_id").distinct()
+    sample = _sample(ids, per_lang, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = flat(batch.column(2))
             at, value = [], []
-            for i, j in chunks(off):
+            for i, j in chunks(off, rows=ROWS):
                 x, letter = features(raw, off, i, j), has_letter(raw, off, i, j)
                 for k in range(j - i):
                     some = np.flatnonzero(x[k]) if letter[k] else np.zeros(0, np.int64)
@@ -139,7 +154,9 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST) -> Model
                     value.append(x[k][some].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["doc_id", "lang", "at", "value"])
 
-    got = [r for r in rows.filter("lang is not null").join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, lang string, at binary, value binary").collect() if r["at"]]
+    made = rows.filter("lang is not null").join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, lang string, at binary, value binary")
+    one = made.filter("length(at) > 0").groupBy("doc_id", "lang").agg(F.min(F.struct("at", "value")).alias("x"))  # of rows with equal ids one is learned from
+    got = one.select("doc_id", "lang", "x.at", "x.value").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.doc_id * 2654435761 % (1 << 32), r.doc_id, r.lang))
@@ -157,7 +174,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             raw, off = flat(batch.column(2))
             lang, score = [], []
-            for i, j in chunks(off):
+            for i, j in chunks(off, rows=ROWS):
                 letter = has_letter(raw, off, i, j)
                 if model is None:
                     lang += [UNKNOWN] * (j - i)
