@@ -53,7 +53,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

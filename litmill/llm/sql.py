@@ -45,16 +45,18 @@ select r.a as doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.b
 
 OP8 = rf"""
 with dw as (select doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
-bw as (select coalesce(item_id::varchar, 'null') as item, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
-win as (select distinct item, least(len(ws), {WINDOW}) as m, array_to_string(ws[i:i + {WINDOW - 1}], ' ') as g from (select item, ws, unnest(range(1, greatest(len(ws) - {WINDOW - 2}, 2))) as i from bw where len(ws) > 0)),
+bw as (select row_number() over () as row, coalesce(item_id::varchar, 'null') as item, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+win as (select distinct row, item, i, least(len(ws), {WINDOW}) as m, array_to_string(ws[i:i + {WINDOW - 1}], ' ') as g from (select row, item, ws, unnest(range(1, greatest(len(ws) - {WINDOW - 2}, 2))) as i from bw where len(ws) > 0)),
 sizes as (select distinct m from win),
 occ as (select doc_id, i, m, array_to_string(ws[i:i + m - 1], ' ') as g from (select doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) as i from dw, sizes where len(ws) >= m)),
-hits as (select o.doc_id, o.i, o.m, w.item from occ o join win w on w.m = o.m and w.g = o.g),
+hits as (select o.doc_id, o.i, o.m, w.row, w.item, w.i as k from occ o join win w on w.m = o.m and w.g = o.g),
 cov as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(i, i + m)) as q from hits) group by 1),
+run as (select doc_id, max(m) + count(*) - 1 as n from (select *, i - row_number() over (partition by doc_id, row, i - k order by i) as g from hits) group by doc_id, row, i - k, g),
+lng as (select doc_id, max(n) as n from run group by 1),
 its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by 1)
 select dw.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
-  coalesce(n_hit, 0) > 0 and {SHARE} * coalesce(n_hit, 0) >= len(ws) as contaminated
-from dw left join cov using (doc_id) left join its using (doc_id)"""
+  coalesce(n_hit, 0) > 0 and {SHARE} * coalesce(n_hit, 0) >= len(ws) as contaminated, coalesce(lng.n, 0)::int as longest_match
+from dw left join cov using (doc_id) left join its using (doc_id) left join lng using (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:

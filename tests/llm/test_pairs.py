@@ -84,19 +84,31 @@ def test_empty_tables(spark):
     assert decontamination.find(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def longest(w, v, k, p):
+    n = 0
+    while k + n < len(v) and p + n < len(w) and v[k + n] == w[p + n]:
+        n += 1
+    return n
+
+
 def contaminated(rows, items, window=13):
+    """By brute force; and the longest match with each item, for each document."""
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     out = []
     for d, t in rows:
-        w, hit, found = split(t), set(), []
+        w, hit, best = split(t), set(), {}
         for i, x in items:
             v = split(x)
-            wins = [v] if 0 < len(v) < window else [v[k : k + window] for k in range(len(v) - window + 1)]
-            at = {(p, len(z)) for z in wins for p in range(len(w) - len(z) + 1) if w[p : p + len(z)] == z}
-            if at:
-                found.append("null" if i is None else str(i))
-            hit |= {p + k for p, m in at for k in range(m)}
-        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+            for k in range(max(1, len(v) - window + 1) if v else 0):
+                z = v[k : k + window]
+                for p in range(len(w) - len(z) + 1):
+                    if w[p : p + len(z)] == z:
+                        hit |= set(range(p, p + len(z)))
+                        best.setdefault("null" if i is None else str(i), []).append((-longest(w, v, k, p), p, k))
+        found = {i: min(m) for i, m in best.items()}
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        most = max((-m[0] for m in found.values()), default=0)
+        out.append((d, len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w), most, sorted((i, -m[0]) for i, m in found.items())))
     return sorted(out, key=str)
 
 
@@ -104,14 +116,49 @@ def test_decontamination(spark):
     rng = random.Random(5)
     rows = texts()
     long = rows[2][1].split()
-    items = [(1, " ".join(long[5:30])), (2, "one two"), (3, None), (4, "..."), (5, "unseen words only"), (10, " ".join(long[8:20])), (None, rows[7][1]), (1, "one"), (6, prose(rng, 40) + " " + " ".join(long[:14]))]
-    rows += [(60, "x " + " ".join(long[5:30]).upper().replace(" ", "; ") + " y"), (61, " ".join([f"z{i}" for i in range(900)] + long[5:25]))]
+    items = [(1, " ".join(long[5:30])), (2, "one two"), (3, None), (4, "..."), (5, "unseen words only"), (10, " ".join(long[8:20])), (None, rows[7][1]), (1, "one"), (6, prose(rng, 40) + " " + " ".join(long[:14])), (7, " ".join(["rep"] * 20)), (8, "rep rep"), (8, "rep rep")]
+    rows += [(60, "x " + " ".join(long[5:30]).upper().replace(" ", "; ") + " y"), (61, " ".join([f"z{i}" for i in range(900)] + long[5:25])), (62, "rep " * 50), (63, "a " + "rep " * 15 + "b " + "rep " * 18 + "c"), (64, " ".join(long[5:22] + ["break"] + long[16:30]))]
     docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    want = contaminated(rows, items)
     for block in (10**6, 20):  # one block, then several
-        got = sorted((tuple(r)[:6] for r in decontamination.find(docs, bench, block=block).collect()), key=str)
-        assert got == contaminated(rows, items)
-    left = sorted((r[0] for r in decontamination.remove(docs, bench).collect()), key=str)
-    assert left == sorted((d for d, *_, c in contaminated(rows, items) if not c), key=str)
+        found = decontamination.find(docs, bench, block=block).collect()
+        assert sorted((tuple(r)[:7] for r in found), key=str) == [x[:7] for x in want]
+        places = sorted(((r.doc_id, [(m.item, m.length) for m in r.matches]) for r in found), key=str)
+        assert places == sorted(((x[0], x[7]) for x in want), key=str)
+        split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        for r in found:  # each location holds such a match
+            for m in r.matches:
+                assert any(split(t)[m.start : m.start + m.length] == split(x)[m["at"] : m["at"] + m.length] for d, t in rows if d == r.doc_id for i, x in items if str(i) in (m.item, "None"))
+        left = sorted((r[0] for r in decontamination.remove(docs, bench, block=block).collect()), key=str)
+        assert left == sorted((x[0] for x in want if not x[5]), key=str)
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.remove(docs, none).count() == docs.count() and decontamination.find(docs, none).filter("contaminated").count() == 0
+    assert decontamination.remove(empty(spark), bench).count() == 0
+
+
+def test_suffix_array():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for size, kinds in ((0, 1), (1, 1), (60, 2), (200, 3), (300, 40), (80, 1)):
+        first = np.unique(np.concatenate([[0, size], rng.integers(0, size + 1, 4)])) if size else np.array([0, 0])
+        w = rng.integers(0, kinds, size)
+        left = np.concatenate([np.arange(b - a, 0, -1) for a, b in zip(first[:-1], first[1:])]).astype(np.int64)
+        order = decontamination.suffix_array(w, left)
+        suffixes = [w[p : p + left[p]].tolist() for p in order]
+        assert sorted(order.tolist()) == list(range(size)) and suffixes == sorted(suffixes)
+
+
+def test_decontamination_of_one_word_repeated():
+    import time
+
+    import pyarrow as pa
+
+    bench = decontamination._block(["1"], [decontamination.words(*decontamination.spaced(*decontamination.flat(pa.array(["rep " * 400])), 0, 1), decontamination.lowered(decontamination.letters_digits()))[0]], 13)
+    start = time.time()
+    (n, hits, found), other = decontamination.examined(pa.array(["rep " * 20_000, "rep " * 12]), bench)
+    assert (n, hits, [(m["item"], m["length"]) for m in found]) == (20_000, [{"a": 0, "b": 20_000}], [("1", 400)])
+    assert other == (12, [], []) and time.time() - start < 20
 
 
 def deleted(rows, least):
