@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from litmill.llm import chat, fingerprints, language, packing, pii, secrets, toxicity
 from litmill.llm.queries import FORGED, tokenizer_path
@@ -205,6 +206,21 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprints(frame(spark, texts())).count() == len(texts())  # repeated rows, null ids
 
 
+def test_far_and_hot_ids_are_dealt_evenly(spark):
+    rows = [(i, f"t{i}") for i in range(3000)] + [(10**15, "far")] + [(1500, f"hot {i}") for i in range(2000)] + [(None, f"none {i}") for i in range(1000)]
+    df = frame(spark, rows).select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    out = fingerprints._in_order(df).collect()
+    sizes = Counter(r.bucket for r in out)
+    assert len(sizes) > 16 and max(sizes.values()) < 0.15 * len(rows)
+    own = sorted((r for r in out if not r.copy), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text_hash))
+    assert [r.bucket for r in own] == sorted(r.bucket for r in own) and len(own) == len(rows)
+    got = {(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.fingerprints(frame(spark, rows)).collect()}
+    for k, r in enumerate(own):  # descending order: the next one is the one before
+        t, after = r.text, own[k - 1].text
+        cut = len(t) // 3
+        assert (r.doc_id, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()) in got
+
+
 def test_language(spark):
     rng = random.Random(7)
     lexicon = {"aa": "the of and river stone", "bb": "le la des rivière pierre", "cc": "der die das fluß stein"}
