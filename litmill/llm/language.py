@@ -132,7 +132,7 @@ def _sample(ids: DataFrame, per_lang: int, most: int) -> DataFrame:
     """
     h = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
     counts = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy("lang").limit(most)
-    near = ids.join(F.broadcast(counts), "lang").filter(h * F.col("n") < 4.0 * per_lang * 2.0**53).select("doc_id", "lang").distinct()
+    near = ids.join(F.broadcast(counts), "lang").filter(h.cast("double") * F.col("n") < 4.0 * per_lang * 2.0**53).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(h, "doc_id")
     return near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).orderBy("r", "lang").limit(most).select("doc_id").distinct()
 
