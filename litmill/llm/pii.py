@@ -9,11 +9,12 @@ logistic span classifier over kind and votes. Further spans are those that the c
 that pass their own check always stay.
 
 Matches are located without a UDF: they are wrapped in a control character (of which the text's own are first
-replaced, one for one), the text is split there, and lengths are summed up.
+replaced, one for one), the text is split there, and lengths are summed up. Candidates with their votes, without
+the texts, are written to the shared folder: they are counted first, then judged.
 
 Defined cases: a null or empty text has no span; spans of different kinds may overlap and are all reported;
-repeated rows are treated alike; a null doc_id stays null; an empty table gives no rows; other columns are
-ignored.
+repeated rows are treated alike; a null doc_id stays null; a text with very many matches is gone through in steps;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litmill.llm.common import pick
+from litmill.llm.common import Workspace, pick
 
 BASE = ("email", "ip", "card", "phone")
 FURTHER = ("ssn", "local_phone", "name")
@@ -33,6 +34,8 @@ KINDS = BASE + FURTHER
 LABELERS = 5
 CODES = 3**LABELERS
 MARK, OTHER = "\x01", "\x02"
+#: Parts of a text (matches, and what lies between them) whose places are added up at once; even.
+STEP = 512
 
 # How each base kind is written. Possessive forms of the contract's expressions: each part is
 # followed by a character it can't contain, so nothing would be found by giving characters back.
@@ -59,24 +62,56 @@ MAIL_DOMAINS = r"(?i)[@.](?:gmail|yahoo|hotmail|outlook|icloud|proton|mail[0-9]*
 CALLING_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 PRIVATE_NETS = r"^(?:0|10|127|22[4-9]|2[3-5][0-9]|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."
 CONTEXT = 30
+MATCHES = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _placed(parts: Column, some: Column, first: Column, at: Column, before: Column) -> Column:
+    """Those of some of the parts that are matches: place, text, and what stands before and after.
+
+    The first of these parts has this number, begins there and has this text before it.
+    """
+    empty = F.array().cast(MATCHES)
+
+    def step(z: Column, x: Column) -> Column:
+        after = F.get(parts, z.i + 1)
+        after = F.left(F.when(after != "", after).otherwise(F.coalesce(F.get(parts, z.i + 2), F.lit(""))), F.lit(1))
+        match = F.struct(z["at"].alias("s"), (z["at"] + F.length(x)).alias("e"), x.alias("m"), z.before.alias("before"), after.alias("after"))
+        return F.struct(
+            (z.i + 1).alias("i"), (z["at"] + F.length(x)).alias("at"), _last(F.concat(z.before, _last(x))).alias("before"),
+            F.when(z.i % 2 == 1, F.array_append(z.out, match)).otherwise(z.out).alias("out"),
+        )
+
+    return F.aggregate(some, F.struct(first.alias("i"), at.alias("at"), before.alias("before"), empty.alias("out")), step, lambda z: z.out)
+
+
+def _last(x: Column) -> Column:
+    return F.right(x, F.lit(CONTEXT))
+
+
+def _placed_in_steps(parts: Column) -> Column:
+    """The same, STEP parts at a time, so that no list that grows is copied for each match of a long text."""
+    steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / STEP).cast("int")), lambda b: F.slice(parts, b * STEP + 1, F.lit(STEP)))
+    # no CONTEXT characters hold more than so many matches and gaps
+    before = lambda b: F.when(b == 0, "").otherwise(_last(F.array_join(F.transform(F.slice(parts, F.greatest(b * STEP - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)), _last), "")))
+
+    def begun(found: Column) -> Column:
+        sizes = F.transform(found, lambda step: F.aggregate(step, F.lit(0), lambda n, x: n + F.length(x)))
+        begin = F.aggregate(sizes, F.array(F.lit(0)), lambda z, n: F.array_append(z, F.element_at(z, -1) + n))
+        return _let(begin, lambda at: F.flatten(F.transform(found, lambda step, b: _placed(parts, step, b * STEP, F.get(at, b), before(b)))))
+
+    return _let(steps, begun)
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>> of the leftmost non-overlapping matches, in code points, end exclusive."""
+    """MATCHES: the leftmost non-overlapping matches, in code points, end exclusive."""
     clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text)
     parts = F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), empty.alias("out"))
-    return F.aggregate(
-        parts,
-        start,
-        lambda z, x: F.struct(
-            (z.i + 1).alias("i"),
-            (z.at + F.length(x)).alias("at"),
-            F.when(z.i % 2 == 1, F.array_append(z.out, F.struct(z.at.alias("s"), (z.at + F.length(x)).alias("e"), x.alias("m")))).otherwise(z.out).alias("out"),
-        ),
-        lambda z: z.out,
-    )
+    return _let(parts, lambda p: F.when(F.size(p) <= STEP, _placed(p, p, F.lit(0), F.lit(0), F.lit(""))).otherwise(_placed_in_steps(p)))
 
 
 def _digits(m: Column) -> Column:
@@ -111,10 +146,10 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(kind: str, text: Column, x: Column) -> Column:
+def _votes(kind: str, x: Column) -> Column:
     """The labelers' votes on a candidate in base 3, as one number with its kind."""
-    before = F.lower(F.substring(text, F.greatest(F.lit(1), x.s - CONTEXT + 1), F.least(x.s, F.lit(CONTEXT))))
-    around = F.concat(F.substring(text, F.greatest(F.lit(1), x.s), F.when(x.s > 0, 1).otherwise(0)), F.lit(" "), F.substring(text, x.e + 1, F.lit(1)))
+    before = F.lower(x.before)
+    around = F.concat(F.right(x.before, F.lit(1)), F.lit(" "), x.after)
     shape = {"email": x.m.rlike(r"\.[A-Za-z]{2,}$"), "name": x.m.rlike(f"^{TITLES}")}.get(kind)
     shape = valid(kind, x.m) if shape is None else shape
     known = {
@@ -135,32 +170,21 @@ def _votes(kind: str, text: Column, x: Column) -> Column:
     return code.cast("int")
 
 
-def _kind_of(m: Column) -> Column:
-    """Which further kind a match of the joint expression is."""
-    return F.when(m.rlike("^[A-Z]"), "name").when(m.rlike("^[0-9]{3}-[0-9]{2}-"), "ssn").otherwise("local_phone")
-
-
-def _of_kind(kind: str) -> Column:
-    """The candidates of a kind in a row of _found."""
-    return F.col(kind) if kind in BASE else F.filter("more", lambda x: _kind_of(x.m) == kind)
-
-
-def _voter(kind: str, text: Column) -> Callable[[Column], Column]:
-    return lambda x: _votes(kind, text, x)
-
-
-def _check(kind: str) -> Callable[[Column], Column]:
-    return lambda x: valid(kind, x.m)
-
-
 def _found(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and arrays of candidates: of each base kind, and `more` of the further kinds."""
+    """doc_id and the candidates: arrays of (s, e, ok, code) of each base kind, and of (s, e, code), `more`, of the further kinds."""
     text = F.col("text")
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
     docs = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     need = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][ -]?[0-9][ -]?[0-9]"), "phone": text.rlike(r"\+[0-9]")}
-    more = F.when(text.rlike(FURTHER_PATTERN), spans(text, FURTHER_PATTERN)).otherwise(none)
-    return docs.select("doc_id", "text", *[F.when(need[k], spans(text, PATTERNS[k])).otherwise(none).alias(k) for k in BASE], more.alias("more"))
+
+    def judged(kind: str) -> Callable[[Column], Column]:
+        return lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), valid(kind, x.m).alias("ok"), _votes(kind, x).alias("code"))
+
+    def further(x: Column) -> Column:
+        code = F.when(x.m.rlike("^[A-Z]"), _votes("name", x)).when(x.m.rlike("^[0-9]{3}-[0-9]{2}-"), _votes("ssn", x)).otherwise(_votes("local_phone", x))
+        return F.struct(x.s.alias("s"), x.e.alias("e"), code.alias("code"))
+
+    base = [F.when(need[k], F.transform(spans(text, PATTERNS[k]), judged(k))).alias(k) for k in BASE]
+    return docs.select("doc_id", *base, F.when(text.rlike(FURTHER_PATTERN), F.transform(spans(text, FURTHER_PATTERN), further)).alias("more"))
 
 
 @dataclass
@@ -220,16 +244,21 @@ def fit(counts: dict[int, int], rounds: int = 30, steps: int = 150) -> Classifie
 
 def train(docs: DataFrame) -> Classifier:
     """Votes are counted over all documents; only their counts come to the driver."""
-    text = F.col("text")
-    found = _found(docs)
-    codes = [F.transform(_of_kind(k), _voter(k, text)) for k in KINDS]
-    some = F.size("more")
-    for k in BASE:
-        some = some + F.size(k)
-    votes = found.filter(some > 0).select(F.explode(F.concat(*codes)).alias("code")).groupBy("code").count()
+    return _trained(_found(docs))
+
+
+def _trained(found: DataFrame) -> Classifier:
+    codes = F.concat(*[F.transform(_some(k), lambda x: x.code) for k in (*BASE, "more")])
+    votes = found.select(F.explode(codes).alias("code")).groupBy("code").count()
     return fit({r.code: r["count"] for r in votes.collect()})
 
 
+def _some(kind: str) -> Column:
+    """Candidates of a column of _found; none where it is null."""
+    ok = "" if kind == "more" else "ok:boolean,"
+    return F.coalesce(kind, F.array().cast(f"array<struct<s:int,e:int,{ok}code:int>>"))
+
+
 def _joined(spans_: Column) -> Column:
     """kind:start:end by start, then kind as listed, comma-joined."""
     return F.array_join(F.transform(F.array_sort(spans_), lambda x: F.concat_ws(":", x.kind, x.s.cast("string"), x.e.cast("string"))), ",")
@@ -237,14 +266,14 @@ def _joined(spans_: Column) -> Column:
 
 def find_personal_data(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     """Per document: doc_id, counts and digest of the base spans, all spans, and how many the classifier added."""
-    model = model or train(docs)
+    found = Workspace(docs.sparkSession, "pii").keep(_found(docs), "found")
+    model = model or _trained(found)
     accepted = [k * CODES + c for k in range(len(BASE), len(KINDS)) for c in range(CODES) if model.score(k, _unpack(c)[1]) >= 0.5]
-    text = F.col("text")
-    rows = _found(docs)
-    rows = rows.select("doc_id", "text", *[F.filter(k, _check(k)).alias(k) for k in BASE], "more")
-    tagged = lambda c, k, at: F.transform(c, lambda x: F.struct(x.s.alias("s"), F.lit(at).alias("at"), F.lit(k).alias("kind"), x.e.alias("e")))
-    base = F.concat(*[tagged(F.col(k), k, i) for i, k in enumerate(BASE)])
-    takes = lambda k: lambda x: F.array_contains(F.lit(accepted or [-1]), _votes(k, text, x))
-    added = [tagged(F.filter(_of_kind(k), takes(k)), k, i) for i, k in enumerate(FURTHER, len(BASE))]
-    rows = rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], base.alias("base"), F.when(F.size("more") > 0, F.concat(*added)).otherwise(F.array().cast("array<struct<s:int,at:int,kind:string,e:int>>")).alias("added"))
-    return rows.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    tagged = lambda c, at, kind: F.transform(c, lambda x: F.struct(x.s.alias("s"), at(x).alias("at"), kind(x).alias("kind"), x.e.alias("e")))
+    of = lambda i, k: tagged(F.filter(_some(k), lambda x: x.ok), lambda _: F.lit(i), lambda _: F.lit(k))
+    number = lambda x: F.floor(x.code / CODES).cast("int")
+    names = F.array(*[F.lit(k) for k in KINDS])
+    added = tagged(F.filter(_some("more"), lambda x: F.array_contains(F.lit(accepted or [-1]), x.code)), number, lambda x: F.get(names, number(x)))
+    rows = found.select("doc_id", F.concat(*[of(i, k) for i, k in enumerate(BASE)]).alias("base"), added.alias("added"))
+    counts = [F.size(F.filter("base", (lambda i: lambda x: x["at"] == i)(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))

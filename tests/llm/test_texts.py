@@ -139,6 +139,15 @@ def test_personal_data(spark):
     assert pii.find_personal_data(empty(spark)).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    n = 3 * pii.STEP + 7
+    rows = [(1, "é 10.0.0.1 a@b.cd; " * n), (2, "10.0.0.1 " * (pii.STEP // 2)), (3, "1.2.3.4"), (4, "+491234567890 x " * 60_000)]
+    got = {r.doc_id: r for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    for d, t in rows:
+        assert got[d].base_sha256 == digest(spans_of(PERSONAL, t)), d
+    assert (got[1].n_ip, got[1].n_email, got[4].n_phone) == (n, n, 60_000)
+
+
 def test_em_finds_the_labeler_that_errs():
     rng = random.Random(8)
     counts: Counter = Counter()
