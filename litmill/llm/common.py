@@ -80,6 +80,23 @@ def clear_workspaces(spark: SparkSession) -> None:
         _delete(spark, Workspace.made.pop())
 
 
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], count: str, least: int = 1000) -> DataFrame:
+    """The inner join of many with one, which has each key once and, in the column `count`, how many rows of many have it.
+
+    Keys with more rows than an eighth of a task's share (and than `least`) are few, at most eight for each task: their
+    rows are joined by broadcast, where they lie, instead of meeting in one task. many is read twice if there are such
+    keys, so it should be a written table.
+    """
+    spark = many.sparkSession
+    s = one.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    limit = max(least, (s.total or 0) // (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    if (s.most or 0) <= limit:
+        return many.join(one, keys)
+    hot = one.filter(F.col(count) > limit)
+    rest = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.filter(F.col(count) <= limit), keys)
+    return many.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 # ---- texts of an Arrow batch as bytes ----
 
 

@@ -9,15 +9,17 @@ Equal word sequences form classes first, so a group of copies, however large, is
 only one text of a family of candidates has can't be in any intersection; counting them bounds each
 text's similarity with every other, exactly, so most edited copies of one text need no comparison with
 each other. In each band bucket the member with the fewest such shingles (the likely original) is
-compared with the others; where this leaves a bucket in several components, the pairs across them that the
-bound allows are compared inside a join, which takes time with the square of such a bucket's unlinked members but
-returns links alone. All links are verified on full shingle sets. With BANDS x ROWS = 20 x 4 a pair at Jaccard 0.85 is missed
-with probability 4e-7, at 0.8 with 2e-5.
+compared with the others; where this leaves a bucket in several components, its members meet across them only where
+their prefixes do (rarest shingles first, with the bound that the places in both give), so texts that share no more
+than what their whole family shares are never paired. All links are verified on full shingle sets. With BANDS x ROWS = 20 x 4
+a pair at Jaccard 0.85 is missed with probability 4e-7, at 0.8 with 2e-5. Keys that many rows have (a class of copies,
+the bucket of a family) are joined by broadcast of their one row.
 
 Defined cases: a null text, or one without a word, has the empty set, is linked with nothing and is kept;
 fewer words than a shingle are one shingle; repeated rows are a class and all carry its component_id; rows
 with a null doc_id take part, but a component's id is its least id that isn't null (null if none is), and
-such a row is kept only if its component has no id; other columns are ignored.
+such a row is kept only if its component has no id; a very long text is a step of its own; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmill.llm.common import Workspace, chunks, flat, lowered, mix, not_space, pick, spaced, words
+from litmill.llm.common import Workspace, chunks, flat, join_hot, lowered, mix, not_space, pick, spaced, words
 from litmill.llm.components import components
 
 BANDS, ROWS = 20, 4
 UNIVERSE = 1 << 20
+#: Members with one shingle in their prefixes beyond which they meet by size.
+HOT = 512
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)]
 
@@ -158,6 +162,56 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return joined.mapInArrow(run, "u binary, v binary")
 
 
+def across(members: DataFrame, percent: int, work: Workspace, hot: int = HOT) -> DataFrame:
+    """Links (u, v) between members of different roots. members: class, n (shingles), root, set.
+
+    Shingles are ordered by how many members have them, rarest first. Two sets whose first common shingle is at place i
+    of one and j of the other share at most what is left of either from there, so with A = what its remainder allows as
+    the other's size, a pair can be linked only if each one's size is within the other's A; a link always passes at its
+    first common shingle. Prefixes beyond which no set can be linked are not compared at all. Where more than `hot`
+    members have a shingle in their prefixes, members only meet those of the sizes that they reach, and members of the
+    root that is most common there don't meet each other.
+    """
+    rows = members.select("class", "n", F.explode("set").alias("shingle"))
+    count = work.keep(rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"), "df")
+    ranked = join_hot(rows, count, ["shingle"], "df").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("by"))
+    place = F.expr("transform(by, (x, k) -> struct(x.shingle as shingle, n - size(by) + k as i))")
+    seen = members.select("class", "n", "root").join(ranked, "class").select("class", "n", "root", F.explode(place).alias("x")).select("class", "n", "root", "x.*")
+    reach = F.floor(((F.col("n") - F.col("i")) * (100 + percent) - percent * F.col("n")) / percent)
+    prefix = work.keep(seen.filter((F.col("n") - F.col("i")) * 100 >= F.col("n") * percent).select("class", "n", "root", "shingle", reach.alias("reach")), "prefix")
+    groups = prefix.groupBy("shingle").agg(F.count("*").alias("g"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least")).filter("r0 != r1")
+    groups = work.keep(groups.select("shingle", "g", "least"), "groups")
+
+    def met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+        """Pairs of a smaller set from a and a greater (or equally large) one from b."""
+        a = a.select(*keys, F.col("class").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"), F.col("reach").alias("ua"))
+        b = b.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("class").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vr"), F.col("reach").alias("va"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"_{k}"))
+        order = (F.col("un") < F.col("vn")) | (F.col("un") == F.col("vn")) & (F.col("u") < F.col("v"))
+        return a.join(b, same & order & (F.col("ur") != F.col("vr")) & (F.col("vn") <= F.col("ua")) & (F.col("un") <= F.col("va"))).select("u", "v")
+
+    cold = prefix.join(groups.filter(F.col("g") <= hot).select("shingle"), "shingle")
+    pairs = met(cold, cold, ["shingle"])
+    many = groups.filter(F.col("g") > hot)
+    if not many.isEmpty():
+        near = work.keep(join_hot(prefix, many, ["shingle"], "g").filter("reach >= least"), "near")
+        sizes = near.groupBy("shingle").agg(F.collect_set("n").alias("sizes"), F.count("*").alias("of"))
+        main = near.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+        near = work.keep(join_hot(near, work.keep(sizes.join(main, "shingle"), "sizes"), ["shingle"], "of"), "reached")
+        meets = near.withColumn("size", F.explode(F.filter("sizes", lambda x: (x >= F.col("n")) & (x <= F.col("reach")))))
+        met_by = near.withColumn("size", F.col("n"))
+        pairs = pairs.unionByName(met(meets.filter("root != main"), met_by, ["shingle", "size"])).unionByName(met(meets.filter("root = main"), met_by.filter("root != main"), ["shingle", "size"]))
+    pairs = work.keep(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "met")
+    of = lambda c: members.select(F.col("class").alias(c), F.col("n").alias(f"{c}n"), F.col("set").alias(f"{c}s"))
+    both = F.size(F.array_intersect("us", "vs"))
+    linked = both * 100 >= (F.col("un") + F.col("vn") - both) * percent
+    more = work.keep(pairs.join(of("u"), "u").join(of("v"), "v").filter(linked).select("u", "v"), "more")
+    work.drop("df", "prefix", "groups", "near", "sizes", "reached", "met")
+    return more
+
+
 def clusters(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, Workspace]:
     """doc_id, text_hash, n_shingles, component_id of every row; and where its inputs are kept."""
     spark = docs.sparkSession
@@ -165,16 +219,13 @@ def clusters(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS,
     texts = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     sketch = work.keep(sketches(texts, n, bands, rows), "sketch")
 
-    # one row for each class: its least row stands for it
+    # one row for each class: its least row stands for it; equal word sequences have equal bands
     seat = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    classes = sketch.filter("class is not null").groupBy("class").agg(F.min(seat).alias("seat"), F.max("n_shingles").alias("n")).select("class", "seat.doc_id", "seat.text_hash", "n")
-    classes = work.keep(classes, "classes")
-    banded = sketch.filter("class is not null").join(classes.select("class", F.col("doc_id").alias("d"), F.col("text_hash").alias("t")), "class")
-    banded = banded.filter(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select("class", "n_shingles", "bands").dropDuplicates(["class"])
-    banded = work.keep(banded, "banded")
-    member = banded.select("class", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = work.keep(member.join(buckets, "key"), "shared")
+    classes = sketch.filter("class is not null").groupBy("class").agg(F.min(seat).alias("seat"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    classes = work.keep(classes.select("class", "seat.doc_id", "seat.text_hash", "n", "bands", "copies"), "classes")
+    member = classes.select("class", "n", F.explode("bands").alias("key"))
+    buckets = work.keep(member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    shared = work.keep(join_hot(member, buckets, ["key"], "size"), "shared")
 
     # texts of all candidates, and how many shingles of each no other candidate of a family has
     wanted = classes.join(shared.groupBy("class").agg(F.max("size").alias("size")), "class").select("class", "doc_id", "text_hash", "size")
@@ -192,34 +243,32 @@ def clusters(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS,
         most = F.least(F.col(an) - F.col(ao), F.col(bn) - F.col(bo))
         return most * 100 >= (F.col(an) + F.col(bn) - most) * percent
 
-    centre = able.groupBy("key").agg(F.min(F.struct("own", "class", "n")).alias("c")).select("key", F.col("c.class").alias("u"), F.col("c.own").alias("uo"), F.col("c.n").alias("un"))
-    pairs = able.join(centre, "key").filter((F.col("class") != F.col("u")) & fits("n", "own", "un", "uo"))
+    centre = able.groupBy("key").agg(F.min(F.struct("own", "class", "n")).alias("c"), F.count("*").alias("m"))
+    centre = work.keep(centre.select("key", F.col("c.class").alias("u"), F.col("c.own").alias("uo"), F.col("c.n").alias("un"), "m"), "centre")
+    pairs = join_hot(able, centre, ["key"], "m").filter((F.col("class") != F.col("u")) & fits("n", "own", "un", "uo"))
     pairs = work.keep(pairs.select(F.least("u", "class").alias("u"), F.greatest("u", "class").alias("v")).distinct(), "pairs")
     edges = work.keep(verified(pairs, found, n, percent), "edges")
     roots = work.keep(components(edges, work), "roots")
 
-    # Buckets that still hold several components: pairs across them that can be similar are compared on their sets,
-    # inside a join by the bucket's centre, which returns links alone.
-    placed = able.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", "own", F.coalesce("root", "class").alias("root"))
-    open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 != r1 and m > 2").select("key").join(placed, "key")
-    member = work.keep(open_.join(centre.select("key", F.col("u").alias("centre")), "key").select("centre", "class", "n", "own", "root").distinct(), "open")
+    # buckets that still hold several components: their members are compared across components, where prefixes meet
+    placed = work.keep(able.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", F.coalesce("root", "class").alias("root")), "placed")
+    open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 != r1 and m > 2").select("key", "m")
+    member = work.keep(join_hot(placed, work.keep(open_, "open"), ["key"], "m").select("class", "n", "root").distinct(), "member")
     if not member.isEmpty():
-        member = member.join(shingle_sets(found.join(member.select("class").distinct(), "class", "left_semi").select("class", "text"), n), "class")
-        member = work.keep(member, "members")
-        a = member.select("centre", F.col("class").alias("u"), F.col("n").alias("un"), F.col("own").alias("uo"), F.col("root").alias("ur"), F.col("set").alias("us"))
-        b = member.select("centre", F.col("class").alias("v"), F.col("n").alias("vn"), F.col("own").alias("vo"), F.col("root").alias("vr"), F.col("set").alias("vs"))
-        both = F.size(F.array_intersect("us", "vs"))
-        linked = (F.col("u") < F.col("v")) & (F.col("ur") != F.col("vr")) & fits("un", "uo", "vn", "vo") & (both * 100 >= (F.col("un") + F.col("vn") - both) * percent)
-        more = work.keep(a.join(b, (a.centre == b.centre) & linked).select("u", "v").distinct(), "more")
+        sets = shingle_sets(found.join(member.select("class"), "class", "left_semi").select("class", "text"), n)
+        more = across(work.keep(member.join(sets, "class"), "members"), percent, work)
         if not more.isEmpty():
             roots = work.keep(components(edges.unionByName(more), work), "roots2")
 
-    ids = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
-    least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = work.keep(ids.join(least, "root").select("class", "component_id"), "component")
-    work.drop("shared", "texts", "own", "able", "pairs", "edges", "roots", "open", "members", "more", "roots2")
-    out = sketch.select("doc_id", "text_hash", "n_shingles", "class").join(of_class, "class", "left")
-    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), work
+    ids = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", "copies", F.coalesce("root", "class").alias("root"))
+    ids = work.keep(ids, "ids")
+    least = work.keep(ids.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")), "least")
+    of_class = work.keep(join_hot(ids, least, ["root"], "m").select("class", "component_id", "copies"), "component")
+    work.drop("buckets", "shared", "texts", "own", "able", "centre", "pairs", "edges", "roots", "placed", "open", "member", "members", "more", "roots2", "ids", "least")
+    rows = sketch.select("doc_id", "text_hash", "n_shingles", "class")
+    out = join_hot(rows, of_class, ["class"], "copies").select("doc_id", "text_hash", "n_shingles", "component_id")
+    bare = rows.filter("class is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(bare), work
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
