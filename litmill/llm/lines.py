@@ -9,13 +9,16 @@ in the order of doc_id and line, lose these lines; together that deletes exactly
 of maximal repeated runs. As each line has a word, min_words bounds a stretch's lines and so the
 number of doublings.
 
-Ranks are written to the shared folder after each doubling. Counts are pre-aggregated before every shuffle, and
-no group of equal lines meets in one task.
+Ranks are written to the shared folder after each doubling. Counts are pre-aggregated before every shuffle, and the one
+row that a very common line, pair or stretch has is broadcast to its occurrences, which don't meet in one task. The array
+is sorted as far as an interval's runs reach min_words: a deeper interval lies within one that is known, so it would
+delete nothing more.
 
 Defined cases: null and empty texts have no line and stay as they are; lines without a word never take part and
 go only when they lie inside a deleted run; rows with equal doc_id and text are one document, so they are treated
 alike and not deduplicated against each other; null doc_ids come last; overlapping copies within a document count
-(of a line repeated many times the first stays); other columns stay as they are.
+(of a line repeated many times the first stays); a very long text's lines are held by one task; an empty table gives no
+rows; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmill.llm.common import Workspace, chunks, flat, lowered, mix, not_space, pick, spaced, words
+from litmill.llm.common import Workspace, chunks, flat, join_hot, lowered, mix, not_space, pick, spaced, words
 
 MIN_WORDS = 50
 UNIT = ["doc_id", "text_hash"]
@@ -116,9 +119,9 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Wo
     zipped = F.arrays_zip("p", "h", "g", "w")
     lines = ids.dropDuplicates(UNIT) if not ids.groupBy(*UNIT).count().filter("count > 1").isEmpty() else ids
     lines = lines.select(*UNIT, F.posexplode(zipped).alias("i", "x")).select(*UNIT, "i", "x.p", "x.w", F.col("x.h").alias("a"), F.col("x.g").alias("b"))
-    ranks = work.keep(_ranked(lines.groupBy("a", "b").count().filter("count > 1").drop("count")), "ranks0")
+    ranks = work.keep(_ranked(lines.groupBy("a", "b").count().filter("count > 1")), "ranks0")
     line = F.struct("i", "p", "w", F.col("rank").alias("r"))
-    runs = lines.join(ranks, ["a", "b"]).groupBy(*UNIT).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    runs = join_hot(lines, ranks, ["a", "b"], "count").groupBy(*UNIT).agg(F.sort_array(F.collect_list(line)).alias("lines"))
     runs = work.keep(runs.select(*UNIT, F.transform("lines", lambda x: F.struct(x.i.alias("i"), x.p.alias("p"), x.w.alias("w"))).alias("lines"), F.col("lines.r").alias("r0")), "runs0")
 
     levels = 1
@@ -126,10 +129,10 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Wo
         step, r = 1 << (levels - 1), f"r{levels - 1}"
         pair = F.transform(r, lambda x, j: F.when((x > 0) & (F.get("lines", j + step).i == F.get("lines", j).i + step) & (F.get(r, j + step) > 0), F.struct(j.alias("j"), x.alias("a"), F.get(r, j + step).alias("b"))))  # noqa: B023
         pairs = work.keep(runs.select(*UNIT, F.explode(F.array_compact(pair)).alias("x")).select(*UNIT, "x.*"), f"pairs{levels}")
-        ranks = work.keep(_ranked(pairs.groupBy("a", "b").count().filter("count > 1").drop("count")), f"ranks{levels}")
+        ranks = work.keep(_ranked(pairs.groupBy("a", "b").count().filter("count > 1")), f"ranks{levels}")
         if ranks.isEmpty():
             break
-        placed = pairs.join(ranks, ["a", "b"]).groupBy(*[F.col(c).alias(f"_{c}") for c in UNIT]).agg(F.map_from_entries(F.collect_list(F.struct("j", "rank"))).alias("placed"))
+        placed = join_hot(pairs, ranks, ["a", "b"], "count").groupBy(*[F.col(c).alias(f"_{c}") for c in UNIT]).agg(F.map_from_entries(F.collect_list(F.struct("j", "rank"))).alias("placed"))
         same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("text_hash").eqNullSafe(F.col("_text_hash"))
         ranks_k = F.transform(r, lambda x, j: F.coalesce(F.try_element_at("placed", j), F.lit(0).cast("long")))
         runs = work.keep(runs.join(placed, same, "left").select(*runs.columns, ranks_k.alias(f"r{levels}")), f"runs{levels}")
@@ -138,10 +141,10 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Wo
 
     found = work.keep(_stretches(runs.select(*UNIT, "lines", *[f"r{k}" for k in range(levels)]), levels, min_words), "stretches")
     seat = F.struct(F.col("doc_id").isNull().alias("none"), *UNIT, "i")
-    earliest = found.groupBy("m", "a", "b").agg(F.min(seat).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = found.join(earliest, ["m", "a", "b"]).filter(~F.col("first").eqNullSafe(seat))
+    earliest = work.keep(found.groupBy("m", "a", "b").agg(F.min(seat).alias("first"), F.count("*").alias("n")).filter("n > 1"), "intervals")
+    later = join_hot(found, earliest, ["m", "a", "b"], "n").filter(~F.col("first").eqNullSafe(seat))
     spans = work.keep(later.groupBy(*UNIT).agg(F.collect_set(F.struct("p0", "p1")).alias("spans")), "spans")
-    work.drop("ids", "stretches", *[f"{t}{k}" for t in ("ranks", "runs", "pairs") for k in range(levels + 1)])
+    work.drop("ids", "stretches", "intervals", *[f"{t}{k}" for t in ("ranks", "runs", "pairs") for k in range(levels + 1)])
     return spans, work
 
 

@@ -67,6 +67,29 @@ def test_near_duplicates(spark):
         assert got == want
 
 
+def test_links_across_components(spark, monkeypatch):
+    """Copies of copies of one text, so that links lie between copies and not with the original."""
+    rng = random.Random(8)
+    base = [f"t{rng.randrange(300)}" for _ in range(100)]
+    made = [base]
+    for _ in range(150):
+        w = list(rng.choice(made))
+        for _ in range(rng.randrange(1, 7)):
+            w[rng.randrange(len(w))] = f"t{rng.randrange(300)}"
+        made.append(w)
+    sets = [shingles(" ".join(w), 3) for w in made]
+    rows = [(i, len(s), i % 3, sorted(hash(x) for x in s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "class long, n long, root long, set array<long>")
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and i % 3 != j % 3 and 100 * len(a & b) >= 85 * len(a | b)}
+    for hot in (512, 3):
+        got = minhash.across(df, 85, minhash.Workspace(spark, "test"), hot).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want) > 20
+    monkeypatch.setattr(minhash.join_hot, "__defaults__", (5,))  # keys of more than five rows are hot
+    docs = [(i, " ".join(w)) for i, w in enumerate(made)] + [(500 + i, " ".join(made[3])) for i in range(20)]
+    got = sorted(map(tuple, minhash.near_duplicates(frame(spark, docs), 3, 85).collect()))
+    assert got == sorted((d, k, c, d == c) for d, k, c in components(docs, 3, 85))
+
+
 def test_one_of_each_group_is_kept(spark):
     rows = texts() + family()
     docs = frame(spark, rows)
@@ -200,6 +223,11 @@ def test_line_dedup(spark):
         assert got == sorted(want, key=str)
 
 
+def test_hot_lines(spark, monkeypatch):
+    monkeypatch.setattr(lines.join_hot, "__defaults__", (3,))
+    test_line_dedup(spark)
+
+
 def test_documents_of_repeats_alone_go(spark):
     rng = random.Random(2)
     t = "\n".join(prose(rng, 30, " ".join(f"u{i}" for i in range(99))) for _ in range(3))
