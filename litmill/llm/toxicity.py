@@ -4,8 +4,8 @@ Learning takes at most `per_class` labelled documents of each class (those with
 id). Every word of theirs is in the index, with its document frequency over all documents. Examples are
 TF-IDF vectors of unit length in blocks of BLOCK. Words that at least one in COMMON examples has are columns
 of a matrix, with the largest weight in each block; the others have lists of postings, whose products are
-added up first. A text is compared with the block of the highest bound first, and with another only while
-that block's bound exceeds its K-th best cosine so far, so the K neighbours are exact.
+added up first. A text is compared with the block of the highest bound first, and with another only if
+that block's bound reaches the K-th best cosine in the first, so the K neighbours are exact.
 
 Words of a text that no example has change its length alone, hence neither neighbours nor votes. score()
 counts them over the documents it scores, so that the cosines it returns are those of whole texts.
@@ -125,27 +125,36 @@ class Index:
         some = np.flatnonzero(x.any(axis=1) if more is None else x.any(axis=1) | more.any(axis=1))
         if not len(some) or not blocks:
             return of, best
-        bound = x[some] @ self.peak.T
+        x, more = x[some], more[some] if more is not None else None
+        bound = x @ self.peak.T
         if more is not None:
-            bound += np.maximum.reduceat(more[some], np.arange(0, more.shape[1], BLOCK), axis=1)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        for turn in range(blocks):
-            block = order[:, turn]
-            # a rounding slack keeps the bound a bound
-            active = np.flatnonzero(bound[np.arange(len(some)), block] * (1 + 1e-5) >= np.maximum(best[some, -1], 1e-12))
-            if not len(active):
-                break
-            for b in np.unique(block[active]):
-                rows = some[active[block[active] == b]]
-                cosine = x[rows] @ self.postings[b * BLOCK : (b + 1) * BLOCK].T
-                if more is not None:
-                    cosine += more[rows, b * BLOCK : (b + 1) * BLOCK]
-                sims = np.concatenate([best[rows], cosine], axis=1)
-                ids = np.concatenate([of[rows], np.broadcast_to(np.arange(b * BLOCK, b * BLOCK + cosine.shape[1]), cosine.shape)], axis=1)
-                pick_ = np.lexsort((ids, -sims), axis=1)[:, :k]
-                best[rows], of[rows] = np.take_along_axis(sims, pick_, 1), np.take_along_axis(ids, pick_, 1)
-        of[best <= 0] = -1
-        return of, np.maximum(best, 0)
+            bound += np.maximum.reduceat(more, np.arange(0, more.shape[1], BLOCK), axis=1)
+        bound *= 1 + 1e-5  # a rounding slack keeps the bound a bound
+        m = self.postings.shape[0]
+        cosine = np.zeros((len(some), m), np.float32)
+
+        def compare(rows: np.ndarray, b: int) -> None:
+            cut = slice(b * BLOCK, min((b + 1) * BLOCK, m))
+            got = x[rows] @ self.postings[cut].T
+            cosine[rows, cut] = got if more is None else got + more[rows, cut]
+
+        first = bound.argmax(axis=1)
+        for b in np.unique(first):
+            compare(np.flatnonzero(first == b), b)
+        enough = np.partition(cosine, m - k, axis=1)[:, m - k] if m > k else np.zeros(len(some), np.float32)
+        for b in range(blocks):
+            rows = np.flatnonzero((first != b) & (bound[:, b] >= np.maximum(enough, 1e-12)))
+            if len(rows):
+                compare(rows, b)
+        least = np.maximum(np.partition(cosine, m - k, axis=1)[:, m - k], 1e-30) if m > k else np.full(len(some), 1e-30, np.float32)
+        row, example = np.nonzero(cosine >= least[:, None])
+        value = cosine[row, example]
+        order = np.lexsort((example, -value, row))
+        row, example, value = row[order], example[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(some)))[row]
+        top = place < k
+        best[some[row[top]], place[top]], of[some[row[top]], place[top]] = value[top], example[top]
+        return of, best
 
     def neighbours(self, h: np.ndarray, first: np.ndarray, k: int = K) -> Iterator[tuple[Vectors, np.ndarray, np.ndarray]]:
         """Vectors, nearest examples and cosines of the rows whose words these are, ROWS at a time."""
@@ -306,16 +315,17 @@ def _scored(column: pa.Array, index: Index) -> Iterator[tuple[np.ndarray, np.nda
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, held_out, score, predicted and the three nearest examples of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # the words of at most 2 * PER_CLASS examples
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float32()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, at = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            scores, evidence, square, sizes, new, weight = [], [], [], [], [], []
+            scores, counts, examples, cosines, square, sizes, new, weight = [], [], [], [], [], [], [], []
             for s, of, cosine, x in _scored(batch.column(2), ix):
                 scores.append(s)
-                near = [[(int(ix.doc_id[e]), float(c), int(ix.label[e])) for e, c in zip(a[:3], b[:3]) if e >= 0] if a[0] >= 0 else [] for a, b in zip(of.tolist(), cosine.tolist())]
-                evidence += [[dict(zip(("doc_id", "cosine", "toxic"), e)) for e in x] for x in near]
+                near = of[:, :3] >= 0
+                counts.append(near.sum(axis=1))
+                examples.append(of[:, :3][near])
+                cosines.append(cosine[:, :3][near])
                 square.append(x.square)
                 row, h, w = x.new
                 sizes.append(np.bincount(row, minlength=len(s)))
@@ -324,8 +334,11 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
             joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
             s, n = joined(scores), batch.num_rows
             off = pa.array(np.concatenate([[0], np.cumsum(joined(sizes))]).astype(np.int32))
+            e = joined(examples).astype(np.int64)
+            near = pa.StructArray.from_arrays([pa.array(ix.doc_id[e], pa.int64()), pa.array(joined(cosines).astype(np.float32)), pa.array(ix.label[e].astype(np.int32))], names=["doc_id", "cosine", "toxic"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(joined(counts))]).astype(np.int32)), near)
             pairs = pa.StructArray.from_arrays([pa.array(joined(new).astype(np.int64)), pa.array(joined(weight).astype(np.float64))], names=["h", "w"])
-            columns = [pa.array(np.arange(at, at + n)), batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(evidence, kind), pa.array(joined(square).astype(np.float64)), pa.ListArray.from_arrays(off, pairs)]
+            columns = [pa.array(np.arange(at, at + n)), batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), evidence, pa.array(joined(square).astype(np.float64)), pa.ListArray.from_arrays(off, pairs)]
             at += n
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "score", "predicted", "evidence", "square", "new"])
 
