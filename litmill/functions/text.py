@@ -5,6 +5,9 @@ Expressions avoid look-around and Unicode word boundaries so that other SQL engi
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,9 +65,28 @@ def query_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(QUERY_TOKENS), F.lit(0))
 
 
+@cache
+def _diacritics() -> tuple[str, str]:
+    """Letters that decompose into a letter and combining marks, and the letters without; the marks follow, with nothing."""
+    marked, plain = [], []
+    for point in range(0xC0, 0x2000):
+        base = "".join(x for x in unicodedata.normalize("NFD", chr(point)) if not unicodedata.combining(x))
+        if base != chr(point) and len(base) == 1:
+            marked.append(chr(point))
+            plain.append(base)
+    marks = [chr(point) for point in range(0x300, 0x370)]
+    return "".join(marked + marks), "".join(plain)
+
+
+def folded(c: Column | str) -> Column:
+    """Lower case without diacritics, as the full-text index folds words."""
+    low = F.lower(_c(c))
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, *_diacritics())).otherwise(low)
+
+
 def fts_tokens(c: Column | str) -> Column:
-    """Lower-cased runs of letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(_c(c)), F.lit(WORDS), F.lit(0))
+    """Runs of letters, digits and underscores in lower case, without diacritics."""
+    return F.regexp_extract_all(folded(c), F.lit(WORDS), F.lit(0))
 
 
 def distinct_folded(tokens: Column) -> Column:

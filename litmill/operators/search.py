@@ -14,10 +14,13 @@ IDF_FLOOR = 1e-6
 
 
 def query_terms(query: str) -> list[str]:
-    """Distinct lower-cased terms of a query, in order."""
+    """Distinct terms of a query in order, in lower case and without diacritics."""
+    import unicodedata
+
     import regex
 
-    return list(dict.fromkeys(regex.findall(tx.WORDS, query.lower())))
+    plain = "".join(x for x in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(x))
+    return list(dict.fromkeys(regex.findall(tx.WORDS, unicodedata.normalize("NFC", plain))))
 
 
 def bm25(rows: DataFrame, key: str, indexed: list[str], terms: list[str], mode: str = "or") -> DataFrame:

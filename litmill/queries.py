@@ -30,7 +30,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _terms_sql(column: str) -> str:
-    return rf"regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}_]+')"
+    return rf"regexp_extract_all(strip_accents(lower({column})), '[\p{{L}}\p{{N}}_]+')"
 
 
 def _bm25_sql(source: str, key: str, indexed: str, terms: list[str], mode: str, limit: int) -> str:
@@ -83,7 +83,15 @@ def unit_split_oversized(spark: SparkSession, sf: str) -> DataFrame:
     return un.split_oversized(table(spark, sf, "documents").select("doc_id", "text"), "text", 500)
 
 
-@query()
+@query(r"""with p as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as ps from documents),
+  e as (select doc_id, i, ps[i] as t, case when length(ps[i]) < 80 then nullif(regexp_extract(ps[i], '(?i)^#{0,4}\s*(?:\d+(?:\.\d+)*\.?\s*)?(Introduction|Methods?|Materials and Methods|Results?|Discussion|Conclusions?|Abstract|Background|References|Supplementary|Figure\s+\d+|Fig\.?\s*\d+|Table\s+\d+)', 1), '') end as h
+    from (select doc_id, ps, unnest(range(1, len(ps) + 1)) as i from p)),
+  r as (select *, count(h) over w as run, lag(h) over w as before, row_number() over w as k from e window w as (partition by doc_id order by i)),
+  s as (select *, last_value(case when h is not null and (k = 1 or before is not null) then h end ignore nulls) over (partition by doc_id order by i) as section from r),
+  g as (select doc_id, run, list(t order by i) as ts, min(i) as a, coalesce(any_value(section), 'Text') as section, count(*) as n from s where h is null group by 1, 2),
+  o as (select *, unnest(list_concat(range(0, n, 2), case when n % 2 = 0 then [n - 1] else [] end)) as o from g),
+  c as (select doc_id, row_number() over (partition by doc_id order by a + o) as chunk_index, section, array_to_string(ts[o + 1:least(o + 3, n)], chr(10) || chr(10)) as text from o)
+  select doc_id, chunk_index, 1::bigint as page_number, section, text, (length(text) // 4)::bigint as token_estimate from c""")
 def chunk_fulltext(spark: SparkSession, sf: str) -> DataFrame:
     return un.chunks(table(spark, sf, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "doc_id", "text")
 
@@ -197,13 +205,13 @@ def merge_retrieve_cap2(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.merge_capped(_hits(spark, sf), 12).select("source", "unit_id", "paper_id", "score")
 
 
-@query(f"""with {_HITS_SQL}, t as (select doc_id as unit_id, doc_id % 7 as paper_id, round(1 - 1.0::double / (1 + n_chars / 1000.0::double), 6) as bm25_score from documents where doc_id % 2 = 0 and doc_id < 60),
+@query(f"""with {_HITS_SQL}, t as (select doc_id as unit_id, doc_id % 7 as paper_id, round(1 - 1.0::double / (1 + n_chars / 1000.0::double), 6) as bm25_score from documents),
   v as (select source, unit_id, max(score) as s, min(paper_id) as paper_id from hits group by 1, 2), w as (select *, case when s > 0 then 1 - 1 / (1 + s) else 0 end as nv from v),
   r as (select 0 as tier, 'body' as source, t.unit_id, t.paper_id, case when w.s is not null then 0.3 * bm25_score + 0.7 * w.nv else bm25_score end as score from t left join w on w.source = 'body' and w.unit_id = t.unit_id
     union all select 1, source, unit_id, paper_id, nv from w where source = 'object')
   select tier, source, unit_id::bigint as unit_id, round(score, 4) as score from r order by tier, round(score, 6) desc, unit_id limit 80""")
 def hybrid_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").filter("doc_id % 2 = 0 and doc_id < 60")
+    d = table(spark, sf, "documents")
     text = d.select(F.col("doc_id").alias("unit_id"), (F.col("doc_id") % 7).alias("paper_id"), F.round(1 - 1 / (1 + F.col("n_chars") / 1000), 6).alias("bm25_score"))
     return vectors.fuse(text, _hits(spark, sf).withColumnRenamed("score", "vec_score"), 80).select("tier", "source", "unit_id", F.round("score", 4).alias("score"))
 
@@ -456,7 +464,7 @@ def _boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _BOX_SQL = """boxes as (select label as page, vec_id as id, round(embedding[1]::double * 1000, 1) as x1, round(embedding[2]::double * 1000, 1) as y1, round(embedding[1]::double * 1000, 1) + 50 + abs(round(embedding[3]::double * 1000, 1)) as x2,
-  round(embedding[2]::double * 1000, 1) + 50 + abs(round(embedding[4]::double * 1000, 1)) as y2 from embeddings where vec_id < 400)"""
+  round(embedding[2]::double * 1000, 1) + 50 + abs(round(embedding[4]::double * 1000, 1)) as y2 from embeddings)"""
 
 
 def _rects(spark: SparkSession, sf: str) -> DataFrame:
@@ -470,11 +478,12 @@ def _rects(spark: SparkSession, sf: str) -> DataFrame:
   u as (select *, case when caption < 0.4 then caption else least(1.0, 0.3 + case when over then 0.25 when beside then 0.2 else 0 end + case when least(abs(ly1 - ay2), abs(ay1 - ly2)) <= 300 then 0.2 else 0 end + case when ay2 <= ly1 or ay1 >= ly2 then 0.1 else 0 end + least(0.15, caption * 0.15))::double end as sc from t)
   select page, lid as legend_id, aid as asset_id, round(sc, 4) as score, case when caption < 0.4 then 'rejected' when sc >= 0.6 and (over or beside) then 'matched' when sc >= 0.4 then 'ambiguous' else 'rejected' end as decision from u""".replace("0.3 + id % 3 * 0.2 as caption", "(30 + id % 3 * 20) / 100.0::double as caption").replace("else 0 end", "else 0.0::double end").replace("then 0.25 when beside then 0.2", "then 0.25::double when beside then 0.2::double").replace("then 0.2 else", "then 0.2::double else").replace("then 0.1 else", "then 0.1::double else").replace("least(1.0, 0.3 +", "least(1.0::double, 0.3::double +").replace("least(0.15, caption * 0.15)", "least(0.15::double, caption * 0.15::double)"))
 def caption_asset_score(spark: SparkSession, sf: str) -> DataFrame:
-    r = _rects(spark, sf).filter("id < 400")  # the rows that its SQL is about
+    r = _rects(spark, sf)
     return blocks.figure_match(r.filter("id % 5 = 0").withColumn("caption", (F.lit(30) + F.col("id") % 3 * 20) / 100.0), r.filter("id % 5 <> 0"), "page")
 
 
-@query()
+@query(f"""with recursive {_BOX_SQL}, e as (select a.page, a.id as a, b.id as b from boxes a join boxes b on a.page = b.page and greatest(a.x1 - b.x2, b.x1 - a.x2) <= 72 and greatest(a.y1 - b.y2, b.y1 - a.y2) <= 48),
+  reach as (select page, a, b from e union select r.page, r.a, e.b from reach r join e on e.page = r.page and e.a = r.b) select page::bigint as page, a as id, min(b) as cluster from reach group by 1, 2""")
 def asset_components(spark: SparkSession, sf: str) -> DataFrame:
     return pairing.asset_clusters(_rects(spark, sf).withColumn("page", F.col("page").cast("long")), "page", 600.0, 800.0)
 

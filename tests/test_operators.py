@@ -1,6 +1,7 @@
 """Operators on small hand-made inputs: edge cases, sources and sinks, grouped assignment, streaming."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -66,19 +67,86 @@ def test_search_modes(spark):
     assert search.fts_syntax_error("what is knee?") and search.fts_syntax_error("a AND") and not search.fts_syntax_error("two words")
 
 
-def test_chunk_strides():
-    text = "\n\n".join(["p1", "Introduction", "p2", "p3", "p4", "p5"])
-    assert [c[3] for c in units.chunk(text)] == ["p1", "p2\n\np3\n\np4", "p4\n\np5", "p5"]
-    assert [c[2] for c in units.chunk("Methods\n\nbody text\n\nmore", stable=True)][0] == "Methods"
-    assert [c[1] for c in units.chunk("<!-- page 7 -->a\n\nb<!-- page 9 -->c", stable=True)] == [2, 2, 3]
+def chunked(spark, texts, **how):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    out = {i: [] for i in range(len(texts))}
+    for r in units.chunks(df, "id", "text", **how).orderBy("id", "chunk_index").collect():
+        assert r.chunk_index == len(out[r.id]) + 1 and r.token_estimate == len(r.text) // 4
+        out[r.id].append((r.page_number, r.section, r.text))
+    return out
+
+
+def walked(paragraphs, heads, stable):
+    """Chunks of one page by a walk over its paragraphs."""
+    out, section, i = [], "Text", 0
+    while i < len(paragraphs):
+        if i in heads:
+            section, i = paragraphs[i], i + 1
+            continue
+        group = [paragraphs[i]]
+        while len(group) < 3 and i + len(group) < len(paragraphs) and i + len(group) not in heads:
+            group.append(paragraphs[i + len(group)])
+        out.append((1, section, "\n\n".join(group)))
+        i += len(group) - 1 if len(group) > 1 else 1 if stable else 2
+    return out
+
+
+def test_chunk_strides(spark):
+    got = chunked(spark, ["\n\n".join(["p1", "Introduction", "p2", "p3", "p4", "p5"]), "", None])
+    assert [c[2] for c in got[0]] == ["p1", "p2\n\np3\n\np4", "p4\n\np5", "p5"] and got[1] == got[2] == []
+    assert chunked(spark, ["Methods\n\nbody text\n\nmore"], stable=True)[0][0][1] == "Methods"
+    assert [c[0] for c in chunked(spark, ["<!-- page 7 -->a\n\nb<!-- page 9 -->c"], stable=True)[0]] == [2, 2, 3]
+    rng = random.Random(5)
+    names = ["Methods", "Results", "Discussion"]
+    cases = [[rng.choice(names) if rng.random() < 0.3 else f"q{i}" for i in range(rng.randrange(1, 14))] for _ in range(60)]
+    for stable in (False, True):
+        got = chunked(spark, ["\n\n".join(c) for c in cases], stable=stable)
+        for k, c in enumerate(cases):
+            assert got[k] == walked(c, {i for i, x in enumerate(c) if x in names}, stable), c
 
 
 def test_split_oversized(spark):
+    rng = random.Random(6)
     long = ("A sentence of words. " * 400).strip()
-    parts = units.split_text(long, 200)
-    assert all(len(p) // 4 <= 200 for p in parts) and " ".join(parts).split() == long.split()
-    df = spark.createDataFrame([(1, long), (2, "short"), (3, None)], "id int, text string")
-    assert units.split_oversized(df, "text", 200).filter("id in (2, 3)").count() == 2
+    texts = [long, "short", None, "", "x" * 5000, "a. " + "b" * 3000, "\n\n".join("w " * rng.randrange(1, 900) for _ in range(12)), " ".join(rng.choice(["aa", "bb.", "ccc"]) for _ in range(3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    out = {i: [] for i in range(len(texts))}
+    for r in units.split_oversized(df, "text", 200).orderBy("id", "part_ordinal").collect():
+        assert r.part_ordinal == len(out[r.id]) + 1
+        out[r.id].append(r.text)
+
+    def halves(t):  # by the rule, one after the other
+        todo, done = [t], []
+        while todo:
+            x = todo.pop()
+            mid = len(x) // 2
+            at = x.rfind(". ", 0, mid)
+            at = at if at >= mid // 2 else x.rfind(" ", 0, mid)
+            at = at if at > 0 else mid
+            two = [x[: at + 1].strip(), x[at + 1 :].strip()]
+            if len(x) // 4 <= 200 or not all(two):
+                done.append(x)
+            else:
+                todo += reversed(two)
+        return done
+
+    for i, t in enumerate(texts):
+        if t is None or len(t) // 4 <= 200:
+            assert out[i] == [t]
+            continue
+        groups = [[]]
+        for p in t.split("\n\n"):
+            if groups[-1] and sum(len(x) // 4 for x in groups[-1]) + len(p) // 4 > 200:
+                groups.append([])
+            groups[-1].append(p)
+        assert out[i] == [h for g in groups for h in halves("\n\n".join(g))], i
+
+
+def test_full_text_folds_diacritics(spark):
+    assert column(spark, ["Café NAÏVE Ångström", "cafe\u0301", "Straße 日本", "x_1"], tx.fts_tokens) == [["cafe", "naive", "angstrom"], ["cafe"], ["straße", "日本"], ["x_1"]]
+    assert search.query_terms("Café cafe Über") == ["cafe", "uber"]
+    papers = spark.createDataFrame([(1, "Un café", "fr", "a"), (2, "thé", "fr", "b")], "paper_id int, title string, domain string, first_author string")
+    assert [r.paper_id for r in search.metadata_search(papers, "CAFE", 5).collect()] == [1]
 
 
 def test_merging_caps_and_ties(spark):
