@@ -267,6 +267,7 @@ def author_match(block: Column, known: Column) -> Column:
 
 
 def text_completeness(ocr: Column, pdf: Column) -> Column:
-    """empty, short (below 45 % of the page's own text), missing_tail or complete."""
-    a, b = folded_gap(F.coalesce(ocr, F.lit(""))), folded_gap(F.coalesce(pdf, F.lit("")))
-    return F.when(a == "", "empty").when(F.length(a) < 0.45 * F.length(b), "short").when(F.startswith(b, a) & (F.length(a) < F.length(b)), "missing_tail").otherwise("complete")
+    """What was recognised against the page's own text: pdf_unavailable, empty_vs_pdf, short_vs_pdf (below 45 %), likely_missing_tail (by more than 24 characters) or complete."""
+    a, b = F.trim(F.coalesce(ocr, F.lit(""))), F.trim(F.coalesce(pdf, F.lit("")))
+    tail = F.startswith(b, a) & (F.length(b) > F.length(a) + 24)
+    return F.when(b == "", "pdf_unavailable").when(a == "", "empty_vs_pdf").when(F.length(a) < 0.45 * F.length(b), "short_vs_pdf").when(tail, "likely_missing_tail").otherwise("complete")

@@ -108,11 +108,20 @@ def heading_intervals(headings: DataFrame, by: str, last: DataFrame) -> DataFram
 
 
 def owning_heading(intervals: DataFrame, blocks: DataFrame, by: str) -> DataFrame:
-    """Each block with the last heading whose interval holds it ('' before any)."""
-    span = intervals.select(by, F.col("ord").alias("_s"), "end", "title")
-    hit = blocks.join(span, by, "left").filter(F.col("_s").isNull() | ((F.col("_s") <= F.col("ord")) & (F.col("ord") <= F.col("end"))))
-    best = hit.groupBy(by, "ord").agg(F.max_by("title", "_s").alias("title"))
-    return blocks.join(best, [by, "ord"], "left").withColumn("title", F.coalesce("title", F.lit("")))
+    """Each block with the last heading whose interval holds it ('' before any).
+
+    Headings and blocks are one sequence. The last heading of each of the (at most 6) levels so far is a window; of
+    those whose interval reaches the block the last one owns it.
+    """
+    heads = intervals.select(by, "ord", "level", "end", "title", F.lit(True).alias("_head"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = blocks.withColumn("_block", F.struct(*blocks.columns)).select(by, "ord", none("int").alias("level"), none("long").alias("end"), none("string").alias("title"), F.lit(False).alias("_head"), "_block")
+    both = rows.unionByName(heads, allowMissingColumns=True)
+    w = Window.partitionBy(by).orderBy("ord", F.desc("_head")).rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(F.when(F.col("_head") & (F.col("level") == k), F.struct(F.col("ord").alias("o"), F.col("end").alias("e"), F.col("title").alias("t"))), ignorenulls=True).over(w) for k in range(1, 7)]
+    holds = F.filter(F.array(*last), lambda x: x.isNotNull() & (x.e >= F.col("ord")))
+    owned = both.withColumn("_own", F.array_max(holds)).filter(~F.col("_head"))
+    return owned.select("_block.*", F.coalesce("_own.t", F.lit("")).alias("title"))
 
 
 def nearby(blocks: DataFrame, anchors: DataFrame, page: str, distance: float) -> DataFrame:
@@ -127,7 +136,7 @@ def drop_cover(blocks: DataFrame, by: str) -> DataFrame:
     """Without the first page of documents where it holds a cover marker and no body or heading."""
     first = F.col("page") == 1
     cover = blocks.groupBy(by).agg((F.bool_or(first & F.lower("text").rlike("pre-?proof|accepted manuscript")) & ~F.bool_or(first & F.col("role").isin("body_paragraph", "section_heading"))).alias("cover"))
-    return blocks.join(cover.filter("cover").select(by), by, "left").join(cover, by).filter(~(F.col("cover") & first)).drop("cover")
+    return blocks.join(cover, by).filter(~(F.col("cover") & first)).drop("cover")
 
 
 def body_end(pages: DataFrame, by: str) -> DataFrame:

@@ -121,10 +121,10 @@ def assess_scope(papers: DataFrame, terms: list[str]) -> DataFrame:
     j = papers.crossJoin(F.broadcast(domain.crossJoin(found)))  # one row
     inside = F.when(F.col("d").isNotNull(), F.col("domain") == F.col("d")).when(F.col("c").isNotNull(), F.exists("collections", lambda x: x.startswith(F.col("c")))).otherwise(F.lit(True))
     ready = F.col("lifecycle").isin("fulltext_ready", "deep_read_done", "ai_context_ready")
-    one = j.agg(F.first("d").alias("d"), F.first("c").alias("c"), F.count_if(inside).alias("n"), F.count_if(inside & ready).alias("ready"))
+    one = j.agg(F.first("d").alias("_d"), F.first("c").alias("_c"), F.count_if(inside).alias("n"), F.count_if(inside & ready).alias("ready"))
     mode = F.when(F.col("n") <= SEARCH_NOW, "rg_now").when(F.col("n") <= SEARCH_WARNED, "rg_with_warning").otherwise("ask_user_before_broad_grep")
-    source = F.when(F.col("d").isNotNull(), "domain").when(F.col("c").isNotNull(), "collection").otherwise("library")
-    return one.select(source.alias("source"), F.coalesce("d", "c", F.lit("full library")).alias("label"), F.col("n").alias("estimated_paper_count"), F.col("ready").alias("fulltext_ready_count"), mode.alias("recommended_mode"))
+    source = F.when(F.col("_d").isNotNull(), "domain").when(F.col("_c").isNotNull(), "collection").otherwise("library")
+    return one.select(source.alias("source"), F.coalesce("_d", "_c", F.lit("full library")).alias("label"), F.col("n").alias("estimated_paper_count"), F.col("ready").alias("fulltext_ready_count"), mode.alias("recommended_mode"))
 
 
 def enrich_plan(plans: DataFrame, papers: DataFrame, vectors_available: bool) -> DataFrame:

@@ -20,7 +20,7 @@ def manifests(units: DataFrame, policy: str = POLICY) -> DataFrame:
     return rows.groupBy("paper_id").agg(F.count("*").alias("n_units"), F.sha2(F.concat(F.lit(policy), of), 256).alias("units_hash"))
 
 
-def table_digest(rows: DataFrame, columns: list[str], buckets: int = 4096) -> DataFrame:
+def table_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One digest of a table whatever its row order: row digests are hashed in order within buckets by their first digits, then the buckets."""
     d = rows.select(digest(*columns).alias("d")).withColumn("b", F.substring("d", 1, 3))
     part = d.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("h"))

@@ -101,3 +101,14 @@ def human_validation(marks: Column, current: Column) -> Column:
 
 def health_profile(pages: Column) -> Column:
     return F.when(pages <= 2, "short_form").otherwise("standard")
+
+
+def abstract_structure(islands: Column) -> Column:
+    """More than one abstract is worth a look, whether one was chosen or not."""
+    return F.when(F.coalesce(islands, F.lit(1)) > 1, "yellow").otherwise("green")
+
+
+def merged(base: dict, over: dict) -> dict:
+    """A policy over another: tables merge key by key, anything else, lists too, is replaced."""
+    both = {k: merged(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
+    return {**base, **both}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def l2(a: Column | str, b: Column | str) -> Column:
@@ -111,9 +113,6 @@ def hash_embedding(text: str, size: int) -> list[float]:
 
 def encode(rows: DataFrame, text: str, size: int, encoder=hash_embedding) -> DataFrame:  # noqa: ANN001
     """rows with an embedding from a plugged-in encoder, in Arrow batches."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: [float(x) for x in encoder(t or "", size)])

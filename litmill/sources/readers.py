@@ -60,17 +60,17 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) ->
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def harvest(spark: SparkSession, path: str) -> DataFrame:
+def harvest(spark: SparkSession, path: str, files: str = "*-candidates.csv") -> DataFrame:
     """Candidate tables below a folder; inherited values are blank, a missing source is filled in."""
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*-candidates.csv").csv(path)
+    df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", files).csv(path)
     for c in df.columns:
         df = df.withColumn(c, F.when(F.col(c) == "<inherit-from-task-context>", "").otherwise(F.coalesce(F.col(c), F.lit(""))))
     return df.withColumn("source", F.coalesce(F.nullif("source", F.lit("")), F.lit("harvest"))) if "source" in df.columns else df
 
 
-def notes(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+def notes(spark: SparkSession, path: str, fields: list[str], files: str = "*.md") -> DataFrame:
     """Markdown notes with scalar fields of their front matter."""
-    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").withColumn("file", F.col("_metadata.file_path"))
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=files).withColumn("file", F.col("_metadata.file_path"))
     front = F.regexp_extract("value", r"(?s)^---\s*\n(.*?)\n---", 1)
     return df.select("file", *[F.regexp_extract(front, rf"(?m)^{f}:\s*[\"']?(.*?)[\"']?\s*$", 1).alias(f) for f in fields], F.col("value").alias("text"))
 

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from litmill import document_queries, more_queries  # noqa: F401  they register their queries
 from litmill.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
