@@ -32,15 +32,15 @@ def role_index(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.role_index(_roles(spark, sf)).select("paper_id", "role", F.array_join("block_ids", ",").alias("ids"))
 
 
-@query(f"with {_ROLES_SQL} select paper_id, count(*) filter (role = 'figure') as n_figure, count(*) filter (role = 'table') as n_table, count(*) filter (role = 'figure') > 0 as has_figure, count(*) filter (role = 'table') > 0 as has_table from roles group by 1")
+@query(f"with {_ROLES_SQL} select paper_id, count(*) filter (role = 'section_heading') as n_section_heading, count(*) filter (role = 'table') as n_table, count(*) filter (role = 'section_heading') > 0 as has_section_heading, count(*) filter (role = 'table') > 0 as has_table from roles group by 1")
 def evidence_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregate.evidence_summary(_roles(spark, sf), ["figure", "table"])
+    return aggregate.evidence_summary(_roles(spark, sf), ["section_heading", "table"])
 
 
-@query(f"""with {_ROLES_SQL}, z as (select *, max(case when role = 'section_heading' then 1 else 0 end) over w as started, max(case when role = 'table' then 1 else 0 end) over w as refs from roles window w as (partition by paper_id order by page, ord))
-  select paper_id, ord, case when refs = 1 and role = 'table' then 'references' when refs = 1 then 'tail' when started = 1 then 'body' else 'frontmatter' end as zone from z""")
+@query(f"""with {_ROLES_SQL}, z as (select *, max(case when role = 'section_heading' then 1 else 0 end) over w as started, max(case when tag = 'li' then 1 else 0 end) over w as refs from roles window w as (partition by paper_id order by page, ord))
+  select paper_id, ord, case when refs = 1 and tag = 'li' then 'references' when refs = 1 then 'tail' when started = 1 then 'body' else 'frontmatter' end as zone from z""")
 def zones(spark: SparkSession, sf: str) -> DataFrame:
-    b = _roles(spark, sf).withColumn("role", F.when(F.col("role") == "table", "reference_item").otherwise(F.col("role")))
+    b = _roles(spark, sf).withColumn("role", F.when(F.col("tag") == "li", "reference_item").otherwise(F.col("role")))
     return structure.zones(b).select("paper_id", "ord", "zone")
 
 
@@ -79,16 +79,16 @@ def owning_section(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.owning_heading(intervals, t.select("paper_id", "ord"), "paper_id").select("paper_id", "ord", "title")
 
 
-@query(f"""with {_ROLES_SQL}, p as (select paper_id, page, bool_or(role = 'body_paragraph') as b, bool_or(role = 'table') as t from roles group by 1, 2), s as (select paper_id, min(page) as stop from p x where t and exists (select 1 from p y where y.paper_id = x.paper_id and y.page < x.page and y.b) group by 1)
+@query(f"""with {_ROLES_SQL}, p as (select paper_id, page, bool_or(role = 'body_paragraph') as b, bool_or(tag = 'li') as t from roles group by 1, 2), s as (select paper_id, min(page) as stop from p x where t and exists (select 1 from p y where y.paper_id = x.paper_id and y.page < x.page and y.b) group by 1)
   select paper_id, max(page) as body_end from p left join s using (paper_id) where b and (stop is null or page < stop) group by 1""")
 def body_end(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _roles(spark, sf).groupBy("paper_id", "page").agg(F.bool_or(F.col("role") == "body_paragraph").alias("has_body"), F.bool_or(F.col("role") == "table").alias("has_tail"))
+    pages = _roles(spark, sf).groupBy("paper_id", "page").agg(F.bool_or(F.col("role") == "body_paragraph").alias("has_body"), F.bool_or(F.col("tag") == "li").alias("has_tail"))
     return blocks.body_end(pages, "paper_id")
 
 
-@query(f"with {_ROLES_SQL} select paper_id, min(page) as backmatter_start from roles where role = 'table' group by 1")
+@query(f"with {_ROLES_SQL} select paper_id, min(page) as backmatter_start from roles where ord % 17 = 16 group by 1")
 def backmatter_start(spark: SparkSession, sf: str) -> DataFrame:
-    b = _roles(spark, sf).withColumn("role", F.when(F.col("role") == "table", "reference_heading").otherwise(F.col("role")))
+    b = _roles(spark, sf).withColumn("role", F.when(F.col("ord") % 17 == 16, "reference_heading").otherwise("body_paragraph"))
     return ocr.backmatter_start(b)
 
 

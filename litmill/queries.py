@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from litmill.bridge import PAPERS_SQL, UNITS_SQL, papers, table, units
 from litmill.functions import text as tx
-from litmill.operators import aggregate, blocks, derive, diff, lineage, logs, lookup, pairing, quality, search, vectors
+from litmill.operators import aggregate, blocks, derive, diff, lineage, logs, lookup, pairing, postings, quality, search, vectors
 from litmill.operators import units as un
 from litmill.plans import query as planner
 from litmill.streaming import events as streams
@@ -49,12 +49,23 @@ UNIT_COLUMNS = "unit_id || ' ' || paper_id || ' ' || section_path || ' ' || unit
 
 @query(_bm25_sql(UNITS_SQL, "unit_id", UNIT_COLUMNS, TERMS, "or", 25))
 def content_discovery_or(spark: SparkSession, sf: str) -> DataFrame:
+    u, docs = units(spark, sf), table(spark, sf, "documents")
+    index = postings.index_of(spark, docs.inputFiles(), u, "unit_id", ["unit_id", "paper_id", "section_path", "unit_text"])
+    score = F.round("score", 6).alias("score")
+    return index.search(search.query_terms("the tion ther")).select(F.col("key").alias("unit_id"), score).orderBy(F.desc("score"), "unit_id").limit(25)
+
+
+@query(_bm25_sql(UNITS_SQL, "unit_id", UNIT_COLUMNS, TERMS, "or", 25))
+def content_discovery_scan(spark: SparkSession, sf: str) -> DataFrame:
     return search.content_discovery(units(spark, sf), "the tion ther", 25).select("unit_id", F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql(PAPERS_SQL, "paper_id", "title || ' ' || domain || ' ' || first_author", ["the", "of"], "and", 20))
 def metadata_search_and(spark: SparkSession, sf: str) -> DataFrame:
-    return search.metadata_search(papers(spark, sf), "the of", 20).select("paper_id", F.round("score", 6).alias("score"))
+    files = table(spark, sf, "documents").inputFiles() + table(spark, sf, "labels").inputFiles()
+    index = postings.index_of(spark, files, papers(spark, sf), "paper_id", ["title", "domain", "first_author"])
+    score = F.round("score", 6).alias("score")
+    return index.search(search.query_terms("the of"), "and", "long").select(F.col("key").alias("paper_id"), score).orderBy(F.desc("score"), "paper_id").limit(20)
 
 
 @query(f"with {PAPERS_SQL} select paper_id, title, year from papers where (contains(lower(title), 'the') and contains(lower(title), 'an')) or (contains(lower(first_author), 'the') and contains(lower(first_author), 'an')) order by year desc nulls last, paper_id limit 30")

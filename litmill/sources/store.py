@@ -28,13 +28,16 @@ class Store:
         at = self.current()
         return self.spark.read.parquet(at) if at else None
 
-    def publish(self, df: DataFrame, verify=None) -> str:  # noqa: ANN001
-        """Write a version, check it as read back, then name it current in one atomic step."""
+    def exists(self, path: str) -> bool:
+        p, fs = self._fs(path)
+        return fs.exists(p)
+
+    def publish(self, df: DataFrame, verify=None, by: list[str] | None = None) -> str:  # noqa: ANN001
+        """Write a version (in folders by these columns), check it as read back, then name it current in one atomic step."""
         name = uuid.uuid4().hex[:12]
         at = f"{self.root}/versions/{name}"
-        df.write.parquet(at)
-        back = self.spark.read.parquet(at)
-        if verify and not verify(back):
+        df.write.partitionBy(*(by or [])).parquet(at)
+        if verify and not verify(self.spark.read.parquet(at)):
             p, fs = self._fs(at)
             fs.delete(p, True)
             raise ValueError("the new version failed its check")
