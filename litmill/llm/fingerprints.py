@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from litmill.llm.common import pick
 
-GROUPS, EACH = 4, 8
+GROUPS, EACH = 8, 8
 SAMPLES = GROUPS * EACH
 #: Characters that end a word: ASCII without letters and digits.
 SEPARATORS = r"[\x00-/:-@\[-`{-\x7f]+"

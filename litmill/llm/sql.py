@@ -22,7 +22,7 @@ s as (select * from f union select * from r),
 g as (select s.doc_id, s.k0, s.k1, string_agg(n.line, chr(10) order by n.k) as body, min(n.p) as p0, max(n.p) as p1 from s join n on n.doc_id = s.doc_id and n.k between s.k0 and s.k1 group by 1, 2, 3),
 x as (select * from g qualify row_number() over (partition by body order by doc_id, k0) > 1),
 gone as (select distinct l.doc_id, l.p from l join x on l.doc_id = x.doc_id and l.p between x.p0 and x.p1)
-select d.doc_id, len(ls)::bigint as n_lines, count(gone.p)::bigint as n_removed,
+select d.doc_id, coalesce(len(ls), 0)::bigint as n_lines, count(gone.p)::bigint as n_removed,
   case when count(gone.p) = 0 then any_value(d.text) else coalesce((select string_agg(l.line, chr(10) order by l.p) from l where l.doc_id = d.doc_id and not exists (select 1 from gone z where z.doc_id = l.doc_id and z.p = l.p)), '') end as text
 from d left join gone on gone.doc_id = d.doc_id group by d.doc_id, ls"""
 
