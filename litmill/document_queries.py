@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from litmill.bridge import PAPERS_SQL, UNITS_SQL, papers, table, units
 from litmill.functions import text as tx
-from litmill.operators import aggregate, blocks, context, diff, lineage, logs, ocr, quality, structure, tables, vectors
+from litmill.operators import aggregate, blocks, context, derive, diff, lineage, logs, ocr, quality, structure, tables, vectors
 from litmill.operators import units as un
-from litmill.queries import _BOX_SQL, _ROLE_SQL, _TAGS_SQL, _rects, _tags, query
+from litmill.queries import _BOX_SQL, _L2, _ROLE_SQL, _TAGS_SQL, SQL, _rects, _tags, _vector, chunk_fulltext, query
 from litmill.sources import readers
-from litmill.sources.store import Store, verify_vectors
+from litmill.sources.store import Store, VectorStore, verify_vectors
 
 # ---- blocks ----
 
@@ -624,3 +624,41 @@ def object_units(spark: SparkSession, sf: str) -> DataFrame:
     captions = t.filter("tag = 'li'").select("paper_id", F.col("ord").cast("string").alias("key"), F.col("tag").alias("kind"), F.lit("c").alias("text"))
     inside = intervals.select("paper_id", F.concat(F.lit("n"), F.col("ord").cast("string")).alias("node_id"), F.col("level").alias("depth"), F.explode(F.transform(F.sequence("ord", "end"), lambda o: o.cast("string"))).alias("key"))
     return un.object_units(captions, inside).select("paper_id", F.col("key").cast("long").alias("ord"), "node_id")
+
+
+@query(f"select v.vec_id, round(1 - {_L2}, 4) as score from embeddings v, (select embedding from embeddings where vec_id = 0) q where v.label <> 3 and v.vec_id % 5 <> 1 order by {_L2}, v.vec_id limit 15")
+def vector_store(spark: SparkSession, sf: str) -> DataFrame:
+    i, e = F.col("vec_id"), table(spark, sf, "embeddings")
+    rows = e.select(i, F.col("label").alias("paper_id"), F.when(i % 5 == 1, "").otherwise(i.cast("string")).alias("unit_id"), "embedding")
+    store = VectorStore(spark, _folder(spark), 64)
+    store.add(rows.filter("vec_id % 2 = 0").withColumn("unit_id", F.lit("old")))
+    store.add(rows)
+    store.delete_papers(rows.filter("paper_id = 3"))
+    return store.query(_vector(spark, sf), 15).select("vec_id", F.round(vectors.score(F.col("distance")), 4).alias("score"))
+
+
+@query(f"select doc_id || '_' || chunk_index as id, section, page_number, token_estimate from ({SQL['chunk_fulltext']}) c")
+def chunk_payload(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.chunk_payload(chunk_fulltext(spark, sf), "doc_id").select("id", "section", "page_number", "token_estimate")
+
+
+@query(f"""with {_ROLES_SQL}, a as (select paper_id, page, ord, 0 as k, case when role = 'section_heading' then '## ' || text else text end as t from roles where tag <> 'li' union all select paper_id, page, ord, 1, '[att ' || ord || ']' from roles where tag = 'p' and ord % 3 = 0)
+  select paper_id, page, md5('<!-- page ' || page || ' -->' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) order by ord, k)) as digest from a group by 1, 2""")
+def emitted_pages(spark: SparkSession, sf: str) -> DataFrame:
+    r = _roles(spark, sf).filter("tag != 'li'")
+    spine = r.select("paper_id", "page", "ord", "block_id", "text", F.when(F.col("role") == "section_heading", 2).alias("level"))
+    a = r.filter("tag = 'p' and ord % 3 = 0").select("paper_id", "block_id", F.concat(F.lit("[att "), F.col("ord").cast("string"), F.lit("]")).alias("text"), F.col("ord").alias("o"))
+    a = a.withColumn("attachment_id", F.col("o") + 1).drop("o")
+    return structure.emitted_pages(spine, a.unionByName(a)).select("paper_id", "page", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
+@query(f"with {_BOX_SQL}, c as (select page, id, case when x1 < 0 then 0 else 1 end as col from boxes), n as (select *, case when col <> lag(col) over (partition by page order by id) then 1 else 0 end as new from c) select page, id, (sum(new) over (partition by page order by id))::bigint as segment from n")
+def reading_segments(spark: SparkSession, sf: str) -> DataFrame:
+    b = _rects(spark, sf).withColumn("col", F.when(F.col("x1") < 0, 0).otherwise(1))
+    return blocks.reading_segments(b, "page", "col", "id").select("page", "id", "segment")
+
+
+@query("select p_partkey as k, p_size % 2 <> 0 as has_pdf, p_brand || '|' || p_name as authors from part where p_partkey % 4 <> 0 union all select p_partkey, p_size % 2 <> 0, '' from part where p_partkey % 4 = 0")
+def entries_of_rows(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 2).alias("has_pdf"), F.when(F.col("p_partkey") % 4 != 0, F.to_json(F.array("p_brand", "p_name"))).alias("authors_json"))
+    return derive.entry_of_row(p, ["has_pdf"], ["authors"]).select("k", "has_pdf", F.array_join("authors", "|").alias("authors"))

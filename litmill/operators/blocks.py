@@ -43,6 +43,13 @@ def column_order(blocks: DataFrame, page: str, x: str, y: str, width: float, key
     return blocks.withColumn("col", column).withColumn("ord", F.row_number().over(Window.partitionBy(page).orderBy("col", y, x, key)).cast("long"))
 
 
+def reading_segments(blocks: DataFrame, page: str, column: str, order: str) -> DataFrame:
+    """Runs of blocks that are read one after the other in the same column, numbered on each page."""
+    w = Window.partitionBy(page).orderBy(order)
+    new = F.coalesce((F.col(column) != F.lag(column).over(w)).cast("int"), F.lit(0))
+    return blocks.withColumn("_new", new).withColumn("segment", F.sum("_new").over(w)).drop("_new")
+
+
 def block_order(blocks: DataFrame, page: str, key: str) -> DataFrame:
     """Blocks with an order first, by it; the others by y, then x."""
     w = Window.partitionBy(page).orderBy(F.col("block_order").isNull(), "block_order", "y", "x", key)

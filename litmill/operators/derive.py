@@ -92,3 +92,13 @@ def tree_paths(spark, nodes: DataFrame, key: str, parent: str, name: str, depth:
               union all select c.k, concat(t.path, '/', c.n), t.depth + 1 from {view} c join t on c.p = t.k)
             select k as key, path, depth from t"""
     )
+
+
+def entry_of_row(rows: DataFrame, flags: list[str], lists: list[str]) -> DataFrame:
+    """Stored rows as entries: 0 and 1 as booleans, columns of JSON text (name_json) as arrays (name)."""
+    out = rows
+    for f in flags:
+        out = out.withColumn(f, F.coalesce(F.col(f), F.lit(0)) != 0)
+    for c in lists:
+        out = out.withColumn(c, F.coalesce(F.from_json(f"{c}_json", "array<string>"), F.array().cast("array<string>"))).drop(f"{c}_json")
+    return out

@@ -95,6 +95,19 @@ def render(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "ord", "_line"))), lambda x: x["_line"]), "\n\n").alias("markdown"))
 
 
+def emitted_pages(spine: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Markdown of each page: its mark, its blocks in order (headings with their level), and after each block what is attached to it, once.
+
+    spine: paper_id, page, ord, block_id, text, level (null for prose). attachments: paper_id, block_id, attachment_id, text.
+    """
+    own = spine.select("paper_id", "page", "ord", F.lit(0).alias("k"), F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("text"))).otherwise(F.col("text")).alias("t"))
+    anchors = spine.groupBy("paper_id", "block_id").agg(F.min(F.struct("page", "ord")).alias("at"))
+    more = attachments.dropDuplicates(["paper_id", "attachment_id"]).join(anchors, ["paper_id", "block_id"])
+    rows = own.unionByName(more.select("paper_id", "at.page", "at.ord", F.col("attachment_id").cast("int").alias("k"), F.col("text").alias("t")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "k", "t"))), lambda x: x.t), "\n\n")
+    return rows.groupBy("paper_id", "page").agg(F.concat(F.lit("<!-- page "), F.first("page").cast("string"), F.lit(" -->\n\n"), body).alias("markdown"))
+
+
 def heading_events(blocks: DataFrame) -> DataFrame:
     """Headings in order with their level."""
     level = F.least(F.length(F.regexp_replace(F.regexp_extract(F.trim("text"), r"^([0-9.]*)", 1), "[0-9]", "")) + 1, F.lit(6)).cast("int")

@@ -105,6 +105,11 @@ def object_payload(objects: DataFrame) -> DataFrame:
     return objects.select(F.concat_ws(":", "paper_id", "unit_id").alias("id"), F.concat_ws("\n", *parts).alias("text"))
 
 
+def chunk_payload(chunks: DataFrame, key: str) -> DataFrame:
+    """Chunks of whole texts as they were encoded before units: an id of document and chunk index, the text and its place."""
+    return chunks.select(F.concat_ws("_", F.col(key).cast("string"), F.col("chunk_index").cast("string")).alias("id"), F.col(key).alias("paper_id"), "text", "section", "page_number", "chunk_index", "token_estimate")
+
+
 def hash_embedding(text: str, size: int) -> list[float]:
     """A deterministic stand-in for an encoder: the text's SHA-256 bytes, repeated, over 255."""
     digest = hashlib.sha256(text.encode()).digest()

@@ -1,6 +1,9 @@
 """Tables, scopes and coverage on small inputs."""
 
+import pytest
+
 from litmill.operators import context, ocr, quality, tables
+from litmill.sources.store import VectorStore
 
 BOX = "paper_id long, page int, id long, x1 double, y1 double, x2 double, y2 double"
 
@@ -52,3 +55,14 @@ def test_page_coverage_and_states(spark):
     files = spark.createDataFrame([("b", b"2"), ("a", b"1")], "path string, content binary")
     again = spark.createDataFrame([("a", b"1"), ("b", b"2")], "path string, content binary")
     assert ocr.files_digest(files).first() == ocr.files_digest(again).first()
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path / "v"), 2)
+    rows = spark.createDataFrame([(1, 7, "u", [0.0, 1.0]), (2, 8, "", [1.0, 1.0]), (3, 8, "w", [3.0])], "vec_id long, paper_id long, unit_id string, embedding array<float>")
+    store.add(rows)
+    with store.store.lock(), pytest.raises(BlockingIOError):
+        store.add(rows)
+    assert tuple(store.health().first()) == (3, 1, 1) and store.capabilities()["query"]
+    store.delete_papers(spark.createDataFrame([(8,)], "paper_id long"))
+    assert [r.vec_id for r in store.query([0.0, 0.0], 5).collect()] == [1]
