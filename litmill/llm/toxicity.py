@@ -41,8 +41,8 @@ PER_CLASS = 2000
 COMMON = 16
 K = 15
 BLOCK = 64
-#: Texts compared at once.
-ROWS = 256
+#: Texts compared at once, and postings whose products are added up at once.
+ROWS, POSTINGS = 256, 1 << 18
 #: Documents with crc32(doc_id) mod FOLDS = 0 are held out.
 FOLDS = 5
 THRESHOLD = 0.5
@@ -110,10 +110,19 @@ class Index:
         """Texts x examples: the part of the cosines that is due to words that aren't common."""
         n, m = len(x.common), len(self.label)
         length = self.begin[x.word + 1] - self.begin[x.word]
-        inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        at = np.repeat(self.begin[x.word], length) + inner
-        cell = np.repeat(x.row * m, length) + self.example[at]
-        return np.bincount(cell, weights=np.repeat(x.weight, length) * self.share[at], minlength=n * m).reshape(n, m).astype(np.float32)
+        first = np.searchsorted(x.row, np.arange(n + 1))  # words are in the order of their texts
+        total = np.concatenate([[0], np.cumsum(length)])[first]
+        out, i = np.zeros((n, m), np.float32), 0
+        while i < n:  # as many texts as have about POSTINGS postings in all
+            j = max(i + 1, int(np.searchsorted(total, total[i] + POSTINGS, "right")) - 1)
+            of = slice(first[i], first[j])
+            size = length[of]
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            at = np.repeat(self.begin[x.word[of]], size) + inner
+            cell = np.repeat((x.row[of] - i) * m, size) + self.example[at]
+            out[i:j] = np.bincount(cell, weights=np.repeat(x.weight[of], size) * self.share[at], minlength=(j - i) * m).reshape(j - i, m)
+            i = j
+        return out
 
     def nearest(self, x: np.ndarray, k: int = K, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples of each row and their cosines; -1 and 0 where there are fewer with a positive cosine.
@@ -290,8 +299,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, corpus
         others = np.where(d1[word] + d0[word] > 1, _lean(d1[word] - own, d0[word] - (1 - own), n[1] - own, n[0] - (1 - own)), 0)
         lean = np.bincount(example, weights=others) / np.bincount(example)
         first = np.concatenate([[0], np.cumsum([cs[i].sum() for i in keep])])
-        found = list(index.neighbours(np.concatenate([np.repeat(hs[i], cs[i]) for i in keep]), first, K + 1))
-        of, cosine = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+        found = [near for _, *near in index.neighbours(np.concatenate([np.repeat(hs[i], cs[i]) for i in keep]), first, K + 1)]
+        of, cosine = (np.concatenate(part) for part in zip(*found))
         self_ = of == np.arange(len(keep))[:, None]
         last = ~self_.any(axis=1)
         self_[last, -1] = True
