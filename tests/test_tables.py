@@ -1,6 +1,10 @@
 """Tables, scopes and coverage on small inputs."""
 
+import math
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from litmill.operators import context, ocr, quality, tables
 from litmill.sources.store import VectorStore
@@ -66,3 +70,57 @@ def test_one_writer_at_a_time(spark, tmp_path):
     assert tuple(store.health().first()) == (3, 1, 1) and store.capabilities()["query"]
     store.delete_papers(spark.createDataFrame([(8,)], "paper_id long"))
     assert [r.vec_id for r in store.query([0.0, 0.0], 5).collect()] == [1]
+
+
+def by_all_pairs(captions, assets, pairs):
+    """Claims from the scored pairs of all captions and assets. captions: (paper, page, id, y1)."""
+    owner, state = set(), {(p, c): (None, "pending") for p, _, c, _ in captions}
+    last = lambda v: (v is None or v != v, 0 if v is None or v != v else v)
+    order = sorted(captions, key=lambda r: (r[0], r[1], last(r[3]), r[2]))
+    for beside in (False, True):
+        for paper, page, c, _ in order:
+            if state[paper, c][1] != "pending":
+                continue
+            free = sorted((-s, a) for s, a, at in pairs.get((paper, c), []) if (paper, a) not in owner and (beside or at == page))
+            if not free or -free[0][0] < tables.LEAST:
+                state[paper, c] = (None, "unmatched" if beside else "pending")
+            elif len(free) > 1 and free[1][0] - free[0][0] < tables.AHEAD - 1e-9:
+                state[paper, c] = (None, "ambiguous" if beside else "pending")
+            else:
+                owner.add((paper, free[0][1]))
+                state[paper, c] = (free[0][1], "matched" if -free[0][0] >= tables.SURE else "matched_low_confidence")
+    return state
+
+
+def test_claims_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    odd = lambda v: rng.choice([None, math.nan, math.inf, -math.inf, v]) if rng.random() < 0.04 else v
+
+    def boxes(paper, n, start):
+        out = []
+        for i in range(n):
+            x, y = (rng.choice([0.0, 100.0, 450.0]), rng.choice([50.0, 160.0, 500.0])) if paper % 2 else (rng.uniform(0, 2000), rng.uniform(0, 950))
+            box = [x, y, x + rng.choice([-10, 0, 50, 200, 400]), y + rng.choice([0, 20, 400])]
+            out.append((paper, rng.randint(1, 6), start + i, *(box if paper < 4 else map(odd, box))))
+        return out
+
+    captions = [r for p, n in ((0, 40), (1, 12), (2, 150), (3, 60), (4, 150), (5, 60)) for r in boxes(p, n, 1000)]
+    assets = [r for p, n in ((0, 60), (1, 8), (2, 900), (3, 30), (4, 300), (5, 40)) for r in boxes(p, n, 5000)]
+    c = spark.createDataFrame([(*r, r[2], rng.choice([True, False, None])) for r in captions], f"{BOX}, number long, continued boolean")
+    a = spark.createDataFrame(assets, BOX)
+    pairs = {}
+    for r in tables.scores(c, a).collect():
+        pairs.setdefault((r.paper_id, r.caption_id), []).append((r.score, r.asset_id, r.a_page))
+    got = {(r.paper_id, r.caption_id): (r.asset_id, r.status) for r in tables.inventory(c, a).collect()}
+    want = by_all_pairs([(r[0], r[1], r[2], r[4]) for r in captions], assets, pairs)
+    assert got == want and len({s for _, s in got.values()}) == 4
+
+
+def test_claims_make_no_pairs(spark):
+    """4,000 captions and 40,000 assets of one page are 160 million pairs."""
+    at = lambda n: (F.lit(1).cast("long").alias("paper_id"), F.lit(1).alias("page"), (F.col("id") + n).alias("id"), (F.col("id") * 37 % 1000).cast("double").alias("x1"), (F.col("id") * 91 % 900).cast("double").alias("y1"))
+    box = lambda df, n: df.select(*at(n)).withColumn("x2", F.col("x1") + 60).withColumn("y2", F.col("y1") + 20)
+    c = box(spark.range(4000), 100_000).withColumn("number", F.col("id")).withColumn("continued", F.lit(False))
+    found = tables.inventory(c, box(spark.range(40_000), 0))
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert {r.status: r["count"] for r in found.groupBy("status").count().collect()} == {"ambiguous": 4000}
