@@ -132,10 +132,11 @@ def enrich_plan(plans: DataFrame, papers: DataFrame, vectors_available: bool) ->
 
     plans: id, intent, command, identifier. papers: paper_id and names (array of lower-cased identifiers).
     """
-    known = papers.select("paper_id", F.explode("names").alias("_name")).distinct()
-    hits = plans.filter("identifier is not null").join(known, F.lower("identifier") == F.col("_name")).groupBy("id").agg(F.countDistinct("paper_id").alias("_n"), F.min("paper_id").alias("_p"))
+    # papers of a name are one row before the join: the ids met are one where the least is the greatest
+    known = papers.select("paper_id", F.explode("names").alias("_name")).groupBy("_name").agg(F.min("paper_id").alias("_p"), F.max("paper_id").alias("_q"))
+    hits = plans.filter("identifier is not null").join(known, F.lower("identifier") == F.col("_name")).groupBy("id").agg(F.min("_p").alias("_p"), F.max("_q").alias("_q"))
     j = plans.join(hits, "id", "left")
-    one = F.coalesce(F.col("_n") == 1, F.lit(False))
+    one = F.coalesce(F.col("_p") == F.col("_q"), F.lit(False))
     command = F.when(one & (F.col("intent") == "content"), "retrieve").when(one & (F.col("intent") == "locate"), "paper-context").when(F.col("identifier").isNotNull() & ~one, "search").otherwise(F.col("command"))
     lacking = (F.col("intent") == "content") & F.lit(not vectors_available)
     return j.select("id", "intent", command.alias("command"), F.when(one, "paper").otherwise("library").alias("scope"), F.when(one, F.col("_p")).alias("paper_key"), lacking.alias("retrieve_unavailable"))

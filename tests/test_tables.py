@@ -124,3 +124,29 @@ def test_claims_make_no_pairs(spark):
     found = tables.inventory(c, box(spark.range(40_000), 0))
     assert "Join" not in found._jdf.queryExecution().toString()
     assert {r.status: r["count"] for r in found.groupBy("status").count().collect()} == {"ambiguous": 4000}
+
+
+def test_plans_of_papers_that_share_a_name(spark):
+    plans = spark.createDataFrame([(1, "content", "plan", "A"), (2, "locate", "plan", "b"), (3, "content", "plan", None), (4, "content", "plan", "none"), (5, "content", "plan", "A"), (5, "content", "plan", "B"), (6, "content", "plan", "A"), (6, "content", "plan", "C"), (7, "locate", "plan", "d")], "id int, intent string, command string, identifier string")
+    papers = spark.createDataFrame([(10, ["a", "a", "c"]), (10, ["a"]), (11, ["b"]), (12, ["b", None]), (13, None), (None, ["d"]), (14, ["d"])], "paper_id int, names array<string>")
+    got = sorted((r.id, r.command, r.scope, r.paper_key) for r in context.enrich_plan(plans, papers, False).collect())
+    assert got == [(1, "retrieve", "paper", 10), (2, "search", "library", None), (3, "plan", "library", None), (4, "search", "library", None), *[(5, "search", "library", None)] * 2, *[(6, "retrieve", "paper", 10)] * 2, (7, "paper-context", "paper", 14)]
+
+
+def test_papers_that_share_a_name_are_one_row_of_the_join(spark):
+    """2,000 plans and 2,000 papers with one name are 4 million pairs."""
+    plans = spark.range(2000).select("id", F.lit("content").alias("intent"), F.lit("plan").alias("command"), F.lit("X").alias("identifier"))
+    papers = spark.range(2000).select(F.col("id").alias("paper_id"), F.array(F.lit("x")).alias("names"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = context.enrich_plan(plans, papers, False)
+        assert len(found.collect()) == 2000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    nodes, made = [found._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        x = nodes.pop()
+        nodes += [x.children().apply(i) for i in range(x.children().size())]
+        if "Join" in x.nodeName():
+            made.append(x.metrics().apply("numOutputRows").value())
+    assert made == [2000, 2000]
