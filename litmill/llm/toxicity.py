@@ -43,6 +43,8 @@ K = 15
 BLOCK = 64
 #: Texts compared at once, and postings whose products are added up at once.
 ROWS, POSTINGS = 256, 1 << 18
+#: Words of examples that training works on at once; a longer example is a step of its own.
+WORDS = 1 << 17
 #: Documents with crc32(doc_id) mod FOLDS = 0 are held out.
 FOLDS = 5
 THRESHOLD = 0.5
@@ -252,17 +254,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, corpus
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     nearest_hash = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     sample = nearest_hash[0].unionByName(nearest_hash[1])  # at most 2 * per_class rows
-    rows = _word_counts(pick(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.h))
-    y = np.array([r.toxic for r in rows], np.int64)
+    rows = _word_counts(pick(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")).toArrow()
+    ids, y = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(np.int64)
+    hs, cs = ([np.frombuffer(x.as_buffer(), t) for x in rows[c]] for c, t in (("h", np.uint64), ("c", np.int32)))  # views of the table
+    _, at, times = np.unique(ids, return_inverse=True, return_counts=True)
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], hs[i].tobytes() if times[at[i]] > 1 else b""))
+    ids, y, hs, cs = ids[order], y[order], [hs[i] for i in order], [cs[i] for i in order]
     n = np.bincount(y, minlength=2) if len(y) else np.zeros(2, np.int64)
     total = np.array([counts.get(c, 0) for c in (0, 1)])
     rate = (total[1] + 0.5) / (total.sum() + 1)
     nothing = Index(np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.int64), y[:0], np.zeros(0), without=float(rate))
     if n.min() == 0:
         return nothing
-    hs, cs = [np.frombuffer(r.h, np.uint64) for r in rows], [np.frombuffer(r.c, np.int32) for r in rows]
-    vocab = np.unique(np.concatenate(hs))
+    vocab = np.zeros(0, np.uint64)
+    for i, j in _steps(hs):
+        vocab = np.union1d(vocab, np.concatenate(hs[i:j]))
     if not len(vocab):
         return nothing
     df, size = _frequencies(corpus if corpus is not None else docs, vocab)
@@ -274,34 +280,65 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, corpus
     keep = np.flatnonzero(~bare)  # a text without words has no cosine with any other
     heavy = [np.searchsorted(vocab, hs[i])[np.argmax((1 + np.log(cs[i])) * index.idf[np.searchsorted(vocab, hs[i])])] for i in keep]
     keep = keep[np.lexsort((keep, heavy))]  # alike examples share blocks, which keeps the bounds tight
-    index.label, index.weight = y[keep], weight[y[keep]]
-    index.doc_id = np.array([rows[i].doc_id for i in keep])
-    example = np.repeat(np.arange(len(keep)), [len(hs[i]) for i in keep])
-    word = np.searchsorted(vocab, np.concatenate([hs[i] for i in keep]))
-    x = (1 + np.log(np.concatenate([cs[i] for i in keep]))) * index.idf[word]
-    x = x / np.sqrt(np.bincount(example, weights=x * x))[example]
-    common = np.flatnonzero(np.bincount(word, minlength=len(vocab)) * COMMON >= len(keep))
-    index.column = np.full(len(vocab), -1, np.int32)
-    index.column[common] = np.arange(len(common))
-    dense = index.column[word] >= 0
-    index.postings = np.zeros((len(keep), len(common)), np.float32)
-    index.postings[example[dense], index.column[word[dense]]] = x[dense]
-    index.peak = np.stack([index.postings[i : i + BLOCK].max(axis=0) for i in range(0, len(keep), BLOCK)])
-    rest = np.flatnonzero(~dense)
-    rest = rest[np.argsort(word[rest], kind="stable")]
-    index.example, index.share = example[rest].astype(np.int32), x[rest].astype(np.float32)
-    index.begin = np.searchsorted(word[rest], np.arange(len(vocab) + 1))
-    d1 = np.bincount(word, weights=index.label[example], minlength=len(vocab))
-    d0 = np.bincount(word, minlength=len(vocab)) - d1
+    index.label, index.weight, index.doc_id = y[keep], weight[y[keep]], ids[keep]
+    _fill(index, [hs[i] for i in keep], [cs[i] for i in keep], n)
+    return index
+
+
+def _steps(parts: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ROWS examples, with about WORDS words each; parts: an array of its words for each example."""
+    return chunks(np.cumsum([0, *map(len, parts)]), WORDS, ROWS)
+
+
+def _parts(index: Index, hs: list[np.ndarray], cs: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a step's examples: their range, and the example, word and weight of each posting.
+
+    Nothing is held for all postings at once but the index itself, as the driver's memory is what training takes most of.
+    """
+    for i, j in _steps(hs):
+        some = slice(i, j)
+        example = np.repeat(np.arange(j - i), [len(h) for h in hs[some]])
+        word = np.searchsorted(index.vocab, np.concatenate(hs[some]))
+        x = (1 + np.log(np.concatenate(cs[some]))) * index.idf[word]
+        yield some, i + example, word, x / np.sqrt(np.bincount(example, weights=x * x))[example]
+
+
+def _fill(index: Index, hs: list[np.ndarray], cs: list[np.ndarray], n: np.ndarray) -> None:
+    """Postings of the examples with these words, and the curve fitted on them; n: examples of each class."""
+    size, m = len(index.vocab), len(hs)
+    d, d1 = np.zeros(size, np.int64), np.zeros(size)
+    for _, example, word, _ in _parts(index, hs, cs):
+        d += np.bincount(word, minlength=size)
+        d1 += np.bincount(word, weights=index.label[example], minlength=size)
+    d0 = d - d1
     index.lean = _lean(d1, d0, int(n[1]), int(n[0]))
-    if len(keep) and n.min() > 1:  # leave-one-out votes and leans
+    common = np.flatnonzero(d * COMMON >= m)
+    index.column = np.full(size, -1, np.int32)
+    index.column[common] = np.arange(len(common))
+    index.postings = np.zeros((m, len(common)), np.float32)
+    index.begin = np.concatenate([[0], np.cumsum(np.where(index.column < 0, d, 0))])
+    index.example, index.share = np.zeros(index.begin[-1], np.int32), np.zeros(index.begin[-1], np.float32)
+    free, lean = index.begin[:-1].copy(), np.zeros(m)  # free: where the next posting of each word goes
+    for some, example, word, x in _parts(index, hs, cs):
+        # leave-one-out leans
         own = index.label[example]
-        others = np.where(d1[word] + d0[word] > 1, _lean(d1[word] - own, d0[word] - (1 - own), n[1] - own, n[0] - (1 - own)), 0)
-        lean = np.bincount(example, weights=others) / np.bincount(example)
-        first = np.concatenate([[0], np.cumsum([cs[i].sum() for i in keep])])
-        found = [near for _, *near in index.neighbours(np.concatenate([np.repeat(hs[i], cs[i]) for i in keep]), first, K + 1)]
+        others = np.where(d[word] > 1, _lean(d1[word] - own, d0[word] - (1 - own), n[1] - own, n[0] - (1 - own)), 0) if n.min() > 1 else np.zeros(len(word))
+        lean[some] = np.bincount(example - some.start, weights=others) / np.bincount(example - some.start)
+        dense = index.column[word] >= 0
+        index.postings[example[dense], index.column[word[dense]]] = x[dense]
+        rest = np.flatnonzero(~dense)
+        rest = rest[np.argsort(word[rest], kind="stable")]
+        place = free[word[rest]] + np.arange(len(rest)) - np.searchsorted(word[rest], word[rest])
+        index.example[place], index.share[place] = example[rest], x[rest]
+        free += np.bincount(word[rest], minlength=size)
+    index.peak = np.stack([index.postings[i : i + BLOCK].max(axis=0) for i in range(0, m, BLOCK)])
+    if m and n.min() > 1:  # leave-one-out votes
+        found = []
+        for i, j in _steps(hs):
+            first = np.concatenate([[0], np.cumsum([c.sum() for c in cs[i:j]])])
+            found += [near for _, *near in index.neighbours(np.repeat(np.concatenate(hs[i:j]), np.concatenate(cs[i:j])), first, K + 1)]
         of, cosine = (np.concatenate(part) for part in zip(*found))
-        self_ = of == np.arange(len(keep))[:, None]
+        self_ = of == np.arange(m)[:, None]
         last = ~self_.any(axis=1)
         self_[last, -1] = True
         of, cosine = of[~self_].reshape(-1, K), cosine[~self_].reshape(-1, K)
@@ -310,7 +347,6 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, corpus
             spread = max(float(lean[some].std()), 1e-9)
             slope, index.shift = _logistic(np.column_stack([index.votes(of, cosine), lean / spread])[some], index.label[some], index.weight[some])
             index.slope = float(slope[0]), float(slope[1] / spread)
-    return index
 
 
 def _scored(column: pa.Array, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Vectors]]:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -324,6 +325,20 @@ def test_toxicity_uses_every_word(spark):
         assert [e.cosine for e in got[i].evidence] == pytest.approx(want, abs=1e-4)
 
 
+def test_training_takes_little_more_memory_than_its_index(spark):
+    rng = np.random.default_rng(13)
+    docs = frame(spark, [(i, " ".join(f"k{k}" for k in rng.integers(0, 60_000, 1500))) for i in range(600)])
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(600)], "doc_id long, quality int, toxic int")
+    tracemalloc.start()
+    try:
+        ix = toxicity.train(docs, lab)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(ix.label) > 400 and len(ix.example) > 500_000
+    assert most < 8 * sum(x.nbytes for x in vars(ix).values() if isinstance(x, np.ndarray))
+
+
 def test_long_white_space():
     from tokenizers import Tokenizer
 
